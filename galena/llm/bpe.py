@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,7 +175,7 @@ def codec(path: str) -> Codec:
 
 def _slices(array: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
     """Slices of about `most` bytes of text, so that ids and decoded texts of a batch stay small."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(array), 0)) if len(array) else np.zeros(0, np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0)) if len(array) else np.zeros(0, np.int64)
     group = np.cumsum(sizes, dtype=np.int64) // most
     cuts = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(array)] if len(array) else [0]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -204,9 +205,9 @@ def decode(ids: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for array in batches:
-            array = pa.compute.fill_null(array, pa.scalar([], array.type)) if array.null_count else array
+            array = pc.fill_null(array, pa.scalar([], array.type)) if array.null_count else array
             values = np.asarray(array.flatten())
-            offsets = np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(array)), dtype=np.int64)]
+            offsets = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(array)), dtype=np.int64)]
             yield pa.array(own.decode_batch(values, offsets), pa.string())
 
     return run(ids)
