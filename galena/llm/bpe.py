@@ -38,7 +38,7 @@ def byte_alphabet() -> list[str]:
 class Codec:
     """One vocabulary file; `words` remembers at most `memo` white-space tokens."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 150_000):
         spec = json.load(open(path, encoding="utf-8"))
         vocab: dict[str, int] = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -173,7 +173,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(array: pa.Array, most: int = 4_000_000) -> Iterator[pa.Array]:
+def _slices(array: pa.Array, most: int = 2_000_000) -> Iterator[pa.Array]:
     """Slices of about `most` bytes of text, so that ids and decoded texts of a batch stay small."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(array), 0)) if len(array) else np.zeros(0, np.int64)
     group = np.cumsum(sizes, dtype=np.int64) // most
@@ -189,11 +189,9 @@ def encode(text: Column, path: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(path)
         for array in batches:
-            parts = []
             for piece in _slices(array):
                 ids, offsets = own.encode_batch(piece.to_pylist())
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+                yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     return run(text)
 
@@ -213,6 +211,22 @@ def decode(ids: Column, path: str) -> Column:
     return run(ids)
 
 
+def round_trip(text: Column, path: str) -> Column:
+    """struct<ids: array<int>, decoded: string>: encode() and decode() of the same texts in one pass, with one codec a worker."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(path)
+        for array in batches:
+            for piece in _slices(array):
+                ids, offsets = own.encode_batch(piece.to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.StructArray.from_arrays([lists, pa.array(own.decode_batch(ids, offsets), pa.string())], ["ids", "decoded"])
+
+    return run(text)
+
+
 def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the token ids of its texts and the text that they decode to. Columns of these names are replaced."""
-    return df.withColumn(ids, encode(F.col(text), path)).withColumn(decoded, decode(F.col(ids), path))
+    both = df.withColumn("_both", round_trip(F.col(text), path))
+    return both.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
