@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import ann, bpe, fingerprint, html_text, lang_id, mixing, ngram_join, warc
+from galena.llm import ann, bpe, fingerprint, html_text, lang_id, mixing, ngram_join, suffix_dedup, warc
 from galena.session import cut
 
 
@@ -32,6 +32,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents"), k=4, numerator=85, denominator=100)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -60,7 +65,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op9_warc, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op9_warc, op10_fingerprint)}
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 ORACLES = {
