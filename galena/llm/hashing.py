@@ -12,7 +12,7 @@ _STEP = 0xC2B2AE3D27D4EB4F
 class WordHash(dict):
     """word -> 64-bit hash, remembered for at most `memo` words."""
 
-    def __init__(self, memo: int = 1_500_000):
+    def __init__(self, memo: int = 400_000):
         super().__init__()
         self.memo = memo
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import ann, bpe, fingerprint, html_text, lang_id, mixing, ngram_join, suffix_dedup, warc
+from galena.llm import ann, bpe, fingerprint, html_text, lang_id, lm_score, mixing, ngram_join, suffix_dedup, warc
 from galena.session import cut
 
 
@@ -53,6 +53,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0, 5)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = cut(warc.archives(warc.plan_revisits(_table(spark, sf_dir, "pages"))), "warc")
     back = warc.read(written, payloads=False)
@@ -65,7 +69,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op9_warc, op10_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op8_lm_score, op9_warc, op10_fingerprint)}
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 ORACLES = {
