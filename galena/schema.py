@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "double": DoubleType(), "boolean": BooleanType(), "binary": BinaryType()}
 
 _DDL = {
     "settings": "key string, value string",
@@ -27,7 +29,7 @@ _DDL = {
     "refresh_tokens": "id string, family string, created_at double, expires_at double, revoked_at double, replaced_by string",
 }
 
-TABLES: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
+TABLES: dict[str, StructType] = {name: StructType([StructField(c, _TYPES[t]) for c, t in (x.split(" ") for x in ddl.split(", "))]) for name, ddl in _DDL.items()}
 
 #: Defaults of the store, the deduplicator and the services.
 DEFAULTS = {

@@ -61,7 +61,7 @@ def upsert_into(target: str, keys: list[str]):
     """A foreachBatch sink: each batch is a folder of its own, so a repeated batch overwrites itself; read with latest_state()."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
 
     return write
 
@@ -69,7 +69,7 @@ def upsert_into(target: str, keys: list[str]):
 def latest_state(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
     """The newest row of each key over all batches written."""
     rows = spark.read.parquet(target)
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "batch").alias("r")).select(*keys, "r.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys and c != "batch"]), "batch").alias("r")).select(*keys, "r.*")
 
 
 def manifest_leaves(batch: DataFrame) -> DataFrame:
