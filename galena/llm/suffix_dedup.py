@@ -32,7 +32,7 @@ from galena.session import cut, partitions
 
 LENGTH, GRAM = 100, 32
 #: Bytes per batch; sampled documents; sampled documents with unlike contents from which a minimizer counts as common; bytes per suffix array.
-BATCH, SAMPLE, COMMON, PIECE = 12_000_000, 4000, 12, 3_000_000
+BATCH, SAMPLE, COMMON, PIECE = 8_000_000, 4000, 12, 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -145,7 +145,9 @@ def _unpack(t: pa.Table) -> tuple[np.ndarray, ...]:
 
 def _repeats(h: np.ndarray, sig: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by (h, sig, place), and whether an entry is the first of its content."""
-    order = np.lexsort((first, doc, sig, h))
+    order = np.argsort(doc * (1 << 32) + first)
+    order = order[np.argsort(sig[order], kind="stable")]
+    order = order[np.argsort(h[order], kind="stable")]
     head = np.ones(len(order), bool)
     head[1:] = (h[order][1:] != h[order][:-1]) | (sig[order][1:] != sig[order][:-1])
     return order, head
@@ -238,16 +240,18 @@ def _per_document(table: pa.Table) -> pa.Table:
 
 def suffix_ranks(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Ranks of the substrings of `length` bytes that start at `at`, by prefix doubling over all suffixes."""
-    padded = np.r_[data, np.zeros(2 * length + 8, np.uint8)].astype(np.uint64)
+    padded = np.r_[data, np.zeros(2 * length + 8, np.uint8)]
     n = len(data) + length
     key = np.zeros(n, np.uint64)
     for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + n]
+        key <<= np.uint64(8)
+        key |= padded[j : j + n]
 
     def dense(key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # ties get one rank, so their order is of no matter
+        key = key[order]
         rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
+        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
         return rank
 
     rank, size = dense(key), 8
