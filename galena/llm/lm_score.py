@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from galena.llm import hashing
 from galena.session import cut, partitions
 
-#: Bits per filter entry, probes per level, bound of the filter, tokens per batch, bound of the broadcast words.
-BITS, PROBES, MAX_BYTES, BATCH, HEAVY = 10, 4, 256 * 2**20, 1_000_000, 50_000
+#: Bits per filter entry, probes per level, bound of the filter, tokens per counted and per scored batch, bound of the broadcast words.
+BITS, PROBES, MAX_BYTES, BATCH, SCORED, HEAVY = 8, 4, 256 * 2**20, 1_000_000, 250_000, 50_000
 #: Weight of the bigram estimate for frequent contexts, and the context count at which it is halved.
 LAMBDA, HALF = 0.3, 4.0
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
@@ -127,14 +127,14 @@ def _tokens(texts: list[str | None], memo: hashing.WordHash) -> tuple[np.ndarray
     return np.concatenate(parts), np.cumsum(sizes) - sizes
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tuple]]:
-    """Rows in groups of about BATCH tokens, judged by the length of the text in `column`."""
+def _batches(batches: Iterator[pa.RecordBatch], column: int, tokens: int) -> Iterator[list[tuple]]:
+    """Rows in groups of about so many tokens, judged by the length of the text in `column`."""
     held, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             held.append(row)
             size += len(row[column] or "") + 8
-            if size >= 6 * BATCH:
+            if size >= 6 * tokens:
                 yield held
                 held, size = [], 0
     if held:
@@ -143,8 +143,8 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[list[tu
 
 def _count(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = hashing.WordHash()
-        for rows in _batches(batches, 0):
+        memo = hashing.WordHash(150_000)
+        for rows in _batches(batches, 0, BATCH):
             tokens, starts = _tokens([r[0] for r in rows], memo)
             out = []
             for kind, h in ((_COUNTS, tokens), (_PAIRS, bigrams(tokens, starts))):
@@ -219,8 +219,8 @@ def _score(parts: int, shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        memo = hashing.WordHash()
-        for rows in _batches(batches, 3):
+        memo = hashing.WordHash(150_000)
+        for rows in _batches(batches, 3, SCORED):
             tokens, starts = _tokens([r[3] for r in rows], memo)
             sizes = np.diff(np.r_[starts, len(tokens)])
             key = np.array([r[0] for r in rows], np.int64).view(np.uint64)
