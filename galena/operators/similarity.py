@@ -173,11 +173,32 @@ def resolve(grouped: DataFrame, keep: DataFrame) -> DataFrame:
     return j.select("dup_group", "id", F.when(~some, "refused").when(F.col("kept"), "keep").otherwise("trash").alias("action"))
 
 
-def pr_curve(pairs: DataFrame, radii: list[int]) -> DataFrame:
-    """(radius, tp, predicted, precision, recall, f1) of labelled pairs (distance, same); precision is 1 where nothing is predicted."""
-    counts = [F.struct(F.lit(r).alias("radius"), F.count_if((F.col("distance") <= r) & F.col("same")).alias("tp"), F.count_if(F.col("distance") <= r).alias("predicted")) for r in radii]
-    one = pairs.agg(F.array(*counts).alias("c"), F.count_if(F.col("same")).alias("positive"))
-    rows = one.select("positive", F.explode("c").alias("c")).select("positive", "c.*")
+def pr_curve(codes: DataFrame, radii: list[int], strategy: str | None = None) -> DataFrame:
+    """(radius, tp, predicted, precision, recall, f1) of codes (id, code, label): a pair is predicted within the radius and true if its labels agree.
+
+    Pairs are counted, not listed: n (n - 1) / 2 within a code or a label, n m between near codes. Precision is 1 where
+    nothing is predicted, recall is 1 where nothing is true.
+    """
+    per = cut(codes.where(F.col("code").isNotNull()).groupBy("code", "label").agg(F.count("*").alias("n")), "labelled")
+    whole = per.groupBy("code").agg(F.sum("n").alias("n"))
+    distinct = whole.select("code")
+    if strategy is None:
+        strategy = "nested" if distinct.limit(NESTED_ROWS + 1).count() <= NESTED_ROWS else "bands"
+    near = cut(_near(distinct, distinct.withColumnRenamed("code", "other"), max(radii), strategy).where("code < other"), "near")
+    d = S.hamming(F.col("code"), F.col("other")).alias("distance")
+    second = lambda df: df.withColumnsRenamed({"code": "other", "n": "m"})
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs")
+    every = near.join(whole, "code").join(second(whole), "other").select(d, (F.col("n") * F.col("m")).alias("pairs"))
+    true = near.join(per, "code").join(second(per), ["other", "label"]).select(d, (F.col("n") * F.col("m")).alias("pairs"))
+    every = every.union(whole.select(F.lit(0).alias("distance"), pairs))
+    true = true.union(per.select(F.lit(0).alias("distance"), pairs))
+    at = lambda df, name: df.agg(F.array(*[F.coalesce(F.sum(F.when(F.col("distance") <= r, F.col("pairs"))), F.lit(0)) for r in radii]).alias(name))
+    positive = per.where("label IS NOT NULL").groupBy("label").agg(F.sum("n").alias("n")).select(pairs).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("positive"))
+    one = at(every, "p").crossJoin(at(true, "t")).crossJoin(positive)  # one row each
+    zipped = F.arrays_zip(F.array(*map(F.lit, radii)).alias("radius"), F.col("t").alias("tp"), F.col("p").alias("predicted"))
+    rows = one.select("positive", F.explode(zipped).alias("c")).select("positive", F.col("c.radius").alias("radius"), F.col("c.tp").alias("tp"), F.col("c.predicted").alias("predicted"))
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(1.0))
     r = F.when(F.col("positive") > 0, F.col("tp") / F.col("positive")).otherwise(F.lit(1.0))
-    return rows.select("radius", "tp", "predicted", p.alias("precision"), r.alias("recall")).withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0))
+    return rows.select("radius", "tp", "predicted", p.alias("precision"), r.alias("recall")).withColumn("f1", f1)

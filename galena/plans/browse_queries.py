@@ -61,7 +61,7 @@ def trash_list(spark, d):
 
 @R.add(
     with_views("files", "jobs")
-    + """, asked AS (SELECT sha256 FROM files WHERE id % 10 = 0 UNION SELECT sha256('item-' || (i * 7)) FROM range(400) t(i)),
+    + """, asked AS (SELECT sha256 FROM files UNION SELECT sha256('item-' || (i * 7)) FROM range(400) t(i)),
   held AS (SELECT sha256, min(id) AS file_id FROM files GROUP BY 1),
   last AS (SELECT sha256, arg_max(state, id) AS state FROM jobs GROUP BY 1)
   SELECT a.sha256, CASE WHEN h.file_id IS NOT NULL THEN 'stored' ELSE coalesce(l.state, 'unknown') END AS status, h.file_id
@@ -70,7 +70,7 @@ def trash_list(spark, d):
 def by_hash_status(spark, d):
     f = B.files(spark, d)
     items = spark.range(400).select(F.sha2(F.concat(F.lit("item-"), (F.col("id") * 7).cast("string")), 256).alias("sha256"))
-    asked = f.where("id % 10 = 0").select("sha256").union(items).distinct()
+    asked = f.select("sha256").union(items).distinct()
     held = f.groupBy("sha256").agg(F.min("id").alias("file_id"))
     last = B.jobs(spark, d).groupBy("sha256").agg(F.max_by("state", "id").alias("state"))
     j = asked.join(held, "sha256", "left").join(last, "sha256", "left")
@@ -95,9 +95,9 @@ def albums_with_cover(spark, d):
     return C.albums_with_cover(albums, items)
 
 
-@R.add("SELECT o_orderkey AS file_id, c_custkey AS album_id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 100 = 1")
+@R.add("SELECT o_orderkey AS file_id, c_custkey AS album_id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey")
 def file_albums(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 100 = 1")
+    o = table(spark, d, "orders")
     return o.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("file_id"), F.col("c_custkey").alias("album_id"), F.col("c_name").alias("name"))
 
 

@@ -156,13 +156,10 @@ def dup_resolve(spark, d):
     return N.resolve(g, f.where("id % 2 = 0").select("id"))
 
 
-@R.add(f"WITH {_CODES}, labelled AS (SELECT bit_count(xor(x.code, y.code))::INT AS distance, a.lang = b.lang AND a.source = b.source AS same FROM codes x JOIN codes y ON x.id < y.id AND x.id % 10 = 0 AND y.id % 10 = 0 JOIN documents a ON a.doc_id = x.id JOIN documents b ON b.doc_id = y.id) SELECT r::INT AS radius, tp, predicted, CASE WHEN predicted > 0 THEN tp / predicted ELSE 1 END AS precision, tp / positive AS recall, CASE WHEN tp > 0 THEN 2 * (tp / predicted) * (tp / positive) / (tp / predicted + tp / positive) WHEN predicted > 0 THEN 0.0 ELSE 0.0 END AS f1 FROM (SELECT r, count(*) FILTER (WHERE distance <= r AND same) AS tp, count(*) FILTER (WHERE distance <= r) AS predicted, count(*) FILTER (WHERE same) AS positive FROM labelled, (VALUES (4), (10), (16), (24), (28), (32)) v(r) GROUP BY r)")
+@R.add(f"WITH {_CODES}, labelled AS MATERIALIZED (SELECT bit_count(xor(x.code, y.code))::INT AS distance, a.lang || a.source = b.lang || b.source AS same FROM codes x JOIN codes y ON x.id < y.id JOIN documents a ON a.doc_id = x.id JOIN documents b ON b.doc_id = y.id) SELECT r::INT AS radius, tp, predicted, CASE WHEN predicted > 0 THEN tp / predicted ELSE 1 END AS precision, tp / positive AS recall, CASE WHEN tp > 0 THEN 2 * (tp / predicted) * (tp / positive) / (tp / predicted + tp / positive) ELSE 0 END AS f1 FROM (SELECT r, count(*) FILTER (WHERE distance <= r AND same) AS tp, count(*) FILTER (WHERE distance <= r) AS predicted, count(*) FILTER (WHERE same) AS positive FROM labelled, (VALUES (0), (4), (7), (10), (12)) v(r) GROUP BY r)")
 def pr_curve(spark, d):
-    """Every pair of a set of labelled codes is the curve's own definition; the labelled set is the feature."""
-    own = _codes(spark, d).where("id % 10 = 0").join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.struct("lang", "source").alias("label")), "id")
-    a, b = own.select("id", "code", "label"), own.select(F.col("id").alias("id2"), F.col("code").alias("code2"), F.col("label").alias("label2"))
-    pairs = a.join(b, F.col("id") < F.col("id2")).select(S.hamming(F.col("code"), F.col("code2")).alias("distance"), (F.col("label") == F.col("label2")).alias("same"))
-    return N.pr_curve(pairs, [4, 10, 16, 24, 28, 32])
+    own = _codes(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat("lang", "source").alias("label")), "id")
+    return N.pr_curve(own, [0, 4, 7, 10, 12])
 
 
 # -- space -------------------------------------------------------------------
