@@ -66,8 +66,19 @@ def _unit(table: pa.Table) -> np.ndarray:
     return x
 
 
+def _distinct(data: pa.Table) -> pa.Table:
+    """The rows of a block without repeats of both id and vector; rows of one id are in one block."""
+    ids = np.asarray(data.column("vec_id"))
+    if len(np.unique(ids)) == len(ids):
+        return data
+    seen: set = set()
+    keep = [(key := (i, np.asarray(v.values).tobytes())) not in seen and not seen.add(key) for i, v in zip(ids.tolist(), data.column("v").combine_chunks(), strict=True)]
+    return data.filter(pa.array(keep))
+
+
 def search_block(queries: pa.Table, data: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, vec ids, cosines): the k nearest rows of one data block for each query of one query block."""
+    data = _distinct(data)
     qid, did = np.asarray(queries.column("vec_id")), np.asarray(data.column("vec_id"))
     q, d = _unit(queries), _unit(data)
     qn, dn = np.linalg.norm(q, axis=1), np.linalg.norm(d, axis=1)
@@ -111,7 +122,8 @@ def search(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", embeddin
 
     is_query: a predicate on the id column. Queries meet the data in blocks: the task of a pair of blocks holds at most
     a few times QUERY_BLOCK + DATA_BLOCK vectors. Vectors of another length than the query's aren't its candidates; a
-    row with the query's own id never is.
+    row with the query's own id never is. Rows equal in id and vector count once; an id's other vectors are rows of
+    their own, and a query id with several vectors takes the nearest to any of them.
     """
     spark = df.sparkSession
     coded = encode(df, vec_id, embedding)

@@ -90,10 +90,9 @@ def training_order(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame
 
     Rows that repeat a key are told apart by their text; equal rows are mixed alike.
     """
-    clash = {"_k", "_h", "_p", "_n"}
-    own = [c for c in docs.columns if c not in clash]
-    plan = mix(docs, key, **options).groupBy("key", "size").agg(F.min("positions").alias("_p"))
-    keyed = docs.select(*own).withColumn("_n", words(F.col(options.get("text", "text"))))
-    joined = keyed.join(plan, F.col(key).eqNullSafe(plan["key"]) & (F.col("_n") == plan["size"]))
-    spread = joined.select(*[joined[c] for c in own], F.explode("_p").alias("_p"))
-    return spread.repartitionByRange(F.col("_p"), F.col(key)).sortWithinPartitions("_p", key).select(*own)
+    own = docs.columns
+    plan = mix(docs, key, **options).groupBy(F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size")).agg(F.min("positions").alias("_mix_spots"))
+    keyed = docs.withColumn("_mix_words", words(F.col(options.get("text", "text"))))
+    joined = keyed.join(plan, F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_words") == F.col("_mix_size")))
+    spread = joined.select(*own, F.explode("_mix_spots").alias("_mix_spot"))
+    return spread.repartitionByRange(F.col("_mix_spot"), F.col(key)).sortWithinPartitions("_mix_spot", key).select(*own)

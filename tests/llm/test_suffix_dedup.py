@@ -82,7 +82,8 @@ def test_awkward_rows(spark):
 
 
 def test_null_ids_come_last(spark):
-    text = "".join(random.Random(1).choice("abcdef") for _ in range(150))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef") for _ in range(150))
     got = {r.doc_id: r.n_removed for r in D.dedup(docs(spark, [(None, text), (9, text + "!")])).collect()}
     assert got == {9: 0, None: 150}
 
