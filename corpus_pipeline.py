@@ -6,9 +6,6 @@ All stages but the last return the columns of `documents`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that repeat an earlier passage of 100 bytes or more. Characters cut apart go whole; texts of which nothing is left go."""
-
-    @F.arrow_udf("string")
-    def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for array in batches:
-            yield pa.array([None if b is None else b.decode("utf-8", "ignore") for b in array.to_pylist()], pa.string())
-
-    found = suffix_dedup.dedup(docs, 100)
-    text = F.when(F.col("n_removed") > 0, text_of("kept")).otherwise(F.col("text"))
-    kept = found.where((F.col("n_removed") == 0) | (F.length("kept") > 0)).withColumn("text", text)
-    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    kept = suffix_dedup.without_repeats(docs, 100)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
