@@ -364,7 +364,7 @@ def extract(html: Column, spark) -> Column:
                 texts += ["\n\n".join(b[1] for b, keep in zip(p, own, strict=True) if keep) for p, own in zip(pages, label(pages, w), strict=True)]
             yield pa.array(texts, pa.string())
 
-    return run(html)
+    return run.asNondeterministic()(html)  # evaluated once, also where its length is asked for
 
 
 def extract_pages(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

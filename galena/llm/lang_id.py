@@ -9,7 +9,6 @@ text's code length is a sum of table look-ups over its whole bytes.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,7 +152,7 @@ def predict(text: Column, model: Model, spark) -> Column:
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
 
     lettered = F.when(text.rlike(r"\p{L}"), text)
-    return run(lettered)
+    return run.asNondeterministic()(lettered)  # evaluated once, also below a filter
 
 
 def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -166,7 +165,3 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     model = train(docs.where(~held_out(F.col(key))), key, text, lang, rows)
     guess = docs.withColumn("held_out", held_out(F.col(key))).withColumn("_g", predict(F.col(text), model, docs.sparkSession))
     return guess.withColumn("lang_pred", F.col("_g.lang")).withColumn("score", F.col("_g.score")).drop("_g")
-
-
-def crc(key: object) -> int:
-    return zlib.crc32(str(key).encode())

@@ -29,7 +29,7 @@ from galena.operators.graph import connected_components
 from galena.session import cut, partitions
 
 #: Shingles per batch of documents; local document count from which a shingle is flagged; shingles per trie.
-BATCH, FLAG, BLOCK = 2_000_000, 64, 1_500_000
+BATCH, FLAG, BLOCK = 1_000_000, 64, 1_500_000
 _EVERYWHERE = np.iinfo(np.int32).max
 _NAMES = ("part", "kind", "a", "b", "c", "d", "e", "f")
 _SCHEMA = "part int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -310,7 +310,7 @@ def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: in
     component unless all its ids are null. Other columns are not read. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.mapInArrow(_deal(parts, k), _SCHEMA)
     shared = dealt.groupBy("part").applyInArrow(_shared(parts), _SCHEMA)
@@ -346,7 +346,7 @@ def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: in
     loads = ranked.select("rid", "n").join(coarse, "rid").groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(loads, "g").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
-    placed = placed.select("g", "rid", "n", "tokens", "block", F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(4 * parts))).alias("pack"), (F.col("blocks") > 1).alias("big"), F.explode(pair).alias("p"))
+    placed = placed.select("g", "rid", "n", "tokens", "block", F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(2 * parts))).alias("pack"), (F.col("blocks") > 1).alias("big"), F.explode(pair).alias("p"))
     links = placed.select("g", "rid", "n", "tokens", "block", "pack", "big", "p.i", "p.j").groupBy("big", "pack", "i", "j").applyInArrow(_join_block(numerator, denominator), "a long, b long")
     found = connected_components(cut(links, "links"))
     labelled = classes.join(found, classes["rid"] == found["id"], "left").select("sig", classes["n"], "least", F.coalesce("label", "rid").alias("label"))

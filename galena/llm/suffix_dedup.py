@@ -393,6 +393,21 @@ def repeated(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: s
     return runs.groupBy("key").agg(F.listagg("gone").alias("gone"))
 
 
+def remaining(raw: bytes, gone: bytes | None, length: int) -> tuple[bytes, int, int]:
+    """The bytes that stay, how many go, and in how many runs."""
+    s = spans(gone, length)
+    if not len(s):
+        return raw, 0, 0
+    edges = [0, *s.ravel().tolist(), len(raw)]
+    return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((s[:, 1] - s[:, 0]).sum()), len(s)
+
+
+def _with_runs(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
+    """docs with _gone: the runs of window starts that go, null for none."""
+    runs = repeated(docs, length, key, text).withColumnsRenamed({"key": "_key", "gone": "_gone"})
+    return docs.join(runs, F.xxhash64(key, text) == F.col("_key"), "left").drop("_key")
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept (binary: the remaining bytes joined). Columns of these names are replaced.
 
@@ -403,17 +418,38 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
     @F.arrow_udf("struct<n_removed:long,n_spans:long,kept:binary>")
     def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, blobs in batches:
-            removed, count, kept = [], [], []
+            kept, removed, count = [], [], []
             for t, g in zip(texts.to_pylist(), blobs.to_pylist(), strict=True):
-                raw = (t or "").encode("utf-8", "surrogatepass")
-                s = spans(g, length)
-                removed.append(int((s[:, 1] - s[:, 0]).sum()))
-                count.append(len(s))
-                edges = [0, *s.ravel().tolist(), len(raw)]
-                kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if len(s) else raw)
+                for c, x in zip((kept, removed, count), remaining((t or "").encode("utf-8", "surrogatepass"), g, length), strict=True):
+                    c.append(x)
             yield pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
 
-    runs = repeated(docs, length, key, text).withColumnsRenamed({"key": "_key", "gone": "_gone"})
-    joined = docs.join(runs, F.xxhash64(key, text) == F.col("_key"), "left").withColumn("_r", apply(F.col(text), F.col("_gone")))
+    run = apply.asNondeterministic()  # evaluated once for all its fields
+    joined = _with_runs(docs, length, key, text).withColumn("_r", run(F.col(text), F.col("_gone")))
     size = F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0).cast("long"))
-    return joined.withColumn("n_bytes", size).withColumns({c: F.col(f"_r.{c}") for c in ("n_removed", "n_spans", "kept")}).drop("_r", "_key", "_gone")
+    return joined.withColumn("n_bytes", size).withColumns({c: F.col(f"_r.{c}") for c in ("n_removed", "n_spans", "kept")}).drop("_r", "_gone")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with their texts less the repeated bytes; all other columns stay.
+
+    Characters of which a byte went go whole. Rows whose text went whole go; texts that were empty or null before stay.
+    """
+
+    @F.arrow_udf("struct<text:string,stays:boolean>")
+    def apply(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, blobs in batches:
+            out, stays = [], []
+            for t, g in zip(texts.to_pylist(), blobs.to_pylist(), strict=True):
+                if g:
+                    kept, _, _ = remaining(t.encode("utf-8", "surrogatepass"), g, length)
+                    t = kept.decode("utf-8", "ignore")
+                    stays.append(bool(kept))
+                else:
+                    stays.append(True)
+                out.append(t)
+            yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(stays)], ["text", "stays"])
+
+    run = apply.asNondeterministic()
+    joined = _with_runs(docs, length, key, text).withColumn("_r", run(F.col(text), F.col("_gone")))
+    return joined.where("_r.stays").withColumn(text, F.col("_r.text")).drop("_r", "_gone")
