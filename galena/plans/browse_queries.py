@@ -204,7 +204,7 @@ def latency_percentiles(spark, d):
     return C.exclusive_quantile(table(spark, d, "orders").withColumnRenamed("o_custkey", "store"), ["store"], "o_totalprice", [50, 95, 99])
 
 
-@R.add("SELECT i AS disks, CASE WHEN i >= 6 THEN 4 WHEN i >= 1 THEN 1 END AS k, CASE WHEN i >= 6 THEN 2 WHEN i >= 2 THEN least(i - 1, 2) WHEN i = 1 THEN 0 END AS m FROM range(12) t(i)")
+@R.add("SELECT i AS disks, CASE WHEN i >= 6 THEN 4 WHEN i >= 1 THEN 1 END AS k, (CASE WHEN i >= 6 THEN 2 WHEN i >= 2 THEN least(i - 1, 2) WHEN i = 1 THEN 0 END)::INT AS m FROM range(12) t(i)")
 def write_profile(spark, d):
     return spark.range(12).select(F.col("id").alias("disks"), C.profile(F.col("id"), 4, 2).alias("p")).select("disks", "p.k", "p.m")
 

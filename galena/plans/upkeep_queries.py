@@ -99,7 +99,7 @@ def dashboard(spark, d):
     return part(B.files(spark, d).where("purged_at IS NULL"), "files", "tier").union(part(B.jobs(spark, d), "jobs", "state")).union(part(B.disks(spark), "disks", "status")).union(part(B.shards(spark, d), "shards", "state"))
 
 
-@R.add("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 3000 ELSE 4000 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 4000 ELSE 3000 END AS height, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN -10.5 ELSE 10.5 END AS lat, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 20.25 END AS lon, o_orderpriority AS make FROM orders")
+@R.add("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 3000 ELSE 4000 END AS width, CASE WHEN o_orderkey % 2 = 0 THEN 4000 ELSE 3000 END AS height, (CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN -10.5 ELSE 10.5 END)::DOUBLE AS lat, (CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 20.25 END)::DOUBLE AS lon, o_orderpriority AS make FROM orders")
 def exif_fields(spark, d):
     k = F.col("o_orderkey")
     zero = k % 5 == 0

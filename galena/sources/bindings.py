@@ -124,7 +124,7 @@ SQL = {
   CASE WHEN object_id % 3 <> 0 THEN ({EPOCH} + (object_id * 7 + seq) % 5000 * 1000)::DOUBLE END AS last_scrubbed_at
   FROM (SELECT object_id, seq, (seq * {K * MAX_SHARD})::BIGINT AS data_offset, least({K * MAX_SHARD}, size - seq * {K * MAX_SHARD})::BIGINT AS data_len FROM
   (SELECT doc_id AS object_id, octet_length(encode(text)) AS size, unnest(range(0, greatest(1, ceil(octet_length(encode(text)) / {K * MAX_SHARD})::INT)))::INT AS seq FROM documents))""",
-    "disks": "SELECT * FROM (VALUES " + ", ".join(map(str, DISKS)) + ") AS t(id, uuid, status, capacity_bytes, free_bytes, error_count)",
+    "disks": "SELECT id::BIGINT AS id, uuid, status, capacity_bytes::BIGINT AS capacity_bytes, free_bytes::BIGINT AS free_bytes, error_count FROM (VALUES " + ", ".join(map(str, DISKS)) + ") AS t(id, uuid, status, capacity_bytes, free_bytes, error_count)",
     "shards": f"""SELECT object_id, seq, idx, CASE WHEN mark % 89 <> 0 THEN (object_id + idx) % 6 + 1 END AS disk_id, CASE WHEN mark % 97 = 0 THEN 'missing' WHEN mark % 101 = 0 THEN 'corrupt' ELSE 'ok' END AS state, shard_size
   FROM (SELECT object_id, seq, shard_size, i::INT AS idx, object_id * 31 + seq * 7 + i AS mark FROM stripes, range({K + M}) AS r(i))""",
 }
