@@ -174,19 +174,24 @@ def rebuild_progress(tasks: DataFrame, now: Column) -> DataFrame:
 
 
 def exclusive_quantile(df: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
-    """Percentiles by the exclusive method: linear between order statistics at p (n + 1) / 100; p50 is the upper median."""
-    n = F.size("v")
+    """Percentiles by the exclusive method: linear between order statistics at p (n + 1) / 100; p50 is the upper median.
+
+    Order statistics come from a sorted window, which spills, so no group is held in memory. Groups of one row are left out.
+    """
+    rows = df.where(F.col(value).isNotNull())
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    ranked = rows.select(*keys, F.col(value).alias("_v"), rank.alias("_r")).join(n, keys)
 
     def at(p: int) -> Column:
         if p == 50:
-            return F.get(F.col("v"), F.floor(n / 2).cast("int"))
-        m = n + 1
-        j = F.least(n - 1, F.greatest(F.lit(1), F.floor(F.lit(p) * m / 100).cast("int")))
+            return F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_v")))
+        m = F.col("_n") + 1
+        j = F.least(F.col("_n") - 1, F.greatest(F.lit(1), F.floor(F.lit(p) * m / 100)))
         delta = F.lit(p) * m - j * 100
-        return (F.element_at("v", j) * (100 - delta) + F.element_at("v", j + 1) * delta) / 100
+        return F.sum(F.when(F.col("_r") == j, F.col("_v") * (100 - delta)).when(F.col("_r") == j + 1, F.col("_v") * delta)) / 100
 
-    sorted_ = df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return sorted_.where(n > 1).select(*keys, *[at(p).alias(f"p{p}") for p in percents])
+    return ranked.groupBy(*keys).agg(*[at(p).alias(f"p{p}") for p in percents])
 
 
 # -- lifecycle ---------------------------------------------------------------
