@@ -97,12 +97,17 @@ class Model:
         m = np.maximum(1, np.diff(self.offsets))[part].astype(np.uint64) * np.uint64(8)
         out = np.zeros(len(h), np.int64)
         live, level = np.flatnonzero(np.diff(self.offsets)[part] > 0), 0
+        h, start, m = h[live], start[live], m[live]
         while len(live) and level < 64:
             level += 1
+            g = hashing.mix(h + np.array([level], np.uint64) * _LEVEL)
+            step = (g >> np.uint64(32)) | np.uint64(1)
+            g &= np.uint64(0xFFFFFFFF)
+            kept = np.arange(len(live))
             for i in range(PROBES):
-                g = hashing.mix(h[live] + np.array([level], np.uint64) * _LEVEL)
-                at = start[live] + ((g & np.uint64(0xFFFFFFFF)) + np.uint64(i) * ((g >> np.uint64(32)) | np.uint64(1))) % m[live]
-                live = live[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = start[kept] + (g[kept] + np.uint64(i) * step[kept]) % m[kept]
+                kept = kept[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            live, h, start, m = live[kept], h[kept], start[kept], m[kept]
             out[live] = level
         return out
 
