@@ -84,3 +84,16 @@ def unrun(values: bytes, lengths: bytes, dtype=np.uint64) -> np.ndarray:
 def joined(column, dtype=np.uint64) -> np.ndarray:
     """All blobs of a binary column as one array."""
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), dtype)
+
+
+def pack48(values: np.ndarray) -> bytes:
+    """Six bytes each of numbers below 2**48."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack48(blobs: list[bytes]) -> np.ndarray:
+    """The numbers of any blobs of pack48(), in order; None counts as empty."""
+    raw = np.frombuffer(b"".join(b for b in blobs if b), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)

@@ -1,6 +1,7 @@
 """N-gram Jaccard join over whole documents (operator 2): classes of documents linked by Jaccard similarity.
 
-1. Every document's set of word shingles is hashed (64 bits) and dealt by hash. A shingle seen in one document only can't
+1. Every document's set of word shingles is hashed and dealt by hash: sizes and equality of sets take 64-bit hashes, what
+   two sets share takes their upper 48 bits (two sets of 1,000 shingles share one by mistake once in 10^8 pairs). A shingle seen in one document only can't
    be in an intersection, so a document goes on only if enough of its shingles are seen elsewhere: with similarity t it
    must share t times its size. Shingles that fill many documents of one batch are flagged there instead of being sent
    once per document, so the most frequent shingle sends a bounded share of the rows to one task.
@@ -46,7 +47,7 @@ def _deal(parts: int, k: int):
 
     def flush(keys: list[int], ids: list, sets: list[np.ndarray]) -> pa.Table:
         sizes = np.array([len(s) for s in sets], np.int64)
-        every = np.concatenate(sets)
+        every = np.concatenate(sets) >> np.uint64(16)  # order and content hash are those of 64 bits
         key = np.array(keys, np.int64).view(np.uint64)
         owner = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(every, kind="stable")
@@ -62,7 +63,7 @@ def _deal(parts: int, k: int):
         sent, by = sent[order], by[order]
         for p, a, b in hashing.pieces(part[order]):
             owners, counts = hashing.runs(key[by[a:b]])
-            rows.append((p, _TOKENS, sent[a:b].tobytes(), owners, counts, hot[hot_part == p].tobytes(), None, None))
+            rows.append((p, _TOKENS, hashing.pack48(sent[a:b]), owners, counts, hot[hot_part == p].tobytes(), None, None))
         done = {r[0] for r in rows}
         rows += [(int(p), _TOKENS, None, None, None, hot[hot_part == p].tobytes(), None, None) for p in np.unique(hot_part) if int(p) not in done]
         bucket = (key % np.uint64(parts)).astype(np.uint32)
@@ -104,7 +105,7 @@ def _shared(parts: int):
     def run(table: pa.Table) -> pa.Table:
         out = [tuple(r[c] for c in _NAMES) for r in table.filter(pc.equal(table["kind"], _DOCS)).to_pylist()]
         t = table.filter(pc.equal(table["kind"], _TOKENS))
-        token = hashing.joined(t["a"])
+        token = hashing.unpack48(t["a"].to_pylist())
         owner = np.repeat(hashing.joined(t["b"]), hashing.joined(t["c"], np.uint32))
         hot = np.unique(hashing.joined(t["d"]))
         order = np.argsort(token, kind="stable")
@@ -120,7 +121,7 @@ def _shared(parts: int):
         token, owner, spread = token[order], owner[order], spread[order]
         for p, a, b in hashing.pieces(bucket[order]):
             owners, counts = hashing.runs(owner[a:b])
-            out.append((p, _TOKENS, token[a:b].tobytes(), owners, counts, spread[a:b].tobytes(), None, None))
+            out.append((p, _TOKENS, hashing.pack48(token[a:b]), owners, counts, spread[a:b].tobytes(), None, None))
         return _rows(out)
 
     return run
@@ -141,8 +142,9 @@ def _gather(numerator: int, denominator: int):
         ids, known = np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(known or [np.zeros(0, bool)])
         sig = b"".join(d["d"].to_pylist())
         owner = np.concatenate([np.repeat(hashing.joined(t["b"]), hashing.joined(t["c"], np.uint32)), np.repeat(key, hashing.joined(d["f"], np.uint32))])
-        token = np.concatenate([hashing.joined(t["a"]), hashing.joined(d["e"])])
-        spread = np.concatenate([hashing.joined(t["d"], np.int32), np.full(len(token) - len(hashing.joined(t["a"])), _EVERYWHERE, np.int32)])
+        spread = hashing.joined(t["d"], np.int32)
+        token = np.concatenate([hashing.unpack48(t["a"].to_pylist()), hashing.joined(d["e"])])
+        spread = np.concatenate([spread, np.full(len(token) - len(spread), _EVERYWHERE, np.int32)])
         unique, first = np.unique(key, return_index=True)  # a repeated row has its row's key; the first stands for all
         at = np.searchsorted(unique, owner)
         order = np.lexsort((token, spread, at))
@@ -155,7 +157,7 @@ def _gather(numerator: int, denominator: int):
         for u, i in enumerate(first.tolist()):
             m = int(starts[u + 1] - starts[u])
             if n[i] and m * denominator >= numerator * int(n[i]):
-                tokens[i] = token[starts[u] : starts[u + 1]].tobytes()
+                tokens[i] = hashing.pack48(token[starts[u] : starts[u + 1]])
         return pa.Table.from_arrays([
             pa.array(key.view(np.int64)), pa.array(ids, mask=~known), pa.array(n), pa.array([sig[16 * i : 16 * i + 16] for i in range(len(key))], pa.binary()), pa.array(tokens, pa.binary()),
         ], schema=schema)
@@ -265,6 +267,12 @@ def linked(sets: list[np.ndarray], sizes: list[int], numerator: int, denominator
     return [find(i) for i in range(len(sets))]
 
 
+def unpack_ranked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in the common order, and how many representatives hold each."""
+    m = len(blob) // 10
+    return hashing.unpack48([blob[: 6 * m]]), np.frombuffer(blob, np.int32, m, 6 * m)
+
+
 def _join_block(numerator: int, denominator: int):
     def run(table: pa.Table) -> pa.Table:
         group, rid, block = (np.asarray(table[c]) for c in ("g", "rid", "block"))
@@ -274,16 +282,14 @@ def _join_block(numerator: int, denominator: int):
         order = np.argsort(group, kind="stable")
         for _, a, b in hashing.pieces(group[order]):
             pick = order[a:b]
-            raw = [np.frombuffer(blobs[i], np.uint64) for i in pick]
-            # the common order comes back from the order within the sets: ranks by (count, hash) were written as such
-            count = np.concatenate([r[len(r) // 2 :] for r in raw])
-            token = np.concatenate([r[: len(r) // 2] for r in raw])
+            raw = [unpack_ranked(blobs[i]) for i in pick]
+            token, count = (np.concatenate(x) for x in zip(*raw, strict=True))
             rank = np.lexsort((token, count))
             new = np.ones(len(rank), bool)
             new[1:] = token[rank][1:] != token[rank][:-1]
             local = np.empty(len(rank), np.int64)
             local[rank] = np.cumsum(new) - 1
-            cuts = np.r_[0, np.cumsum([len(r) // 2 for r in raw])]
+            cuts = np.r_[0, np.cumsum([len(r[0]) for r in raw])]
             sets = [local[cuts[i] : cuts[i + 1]] for i in range(len(raw))]
             sizes = [n[i] for i in pick]
             sides = [int(block[i]) for i in pick]
@@ -307,7 +313,7 @@ def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: in
 
     k words a shingle; links where denominator * |A n B| >= numerator * |A u B|. Null, empty and blank texts have no
     shingle and no link. Rows that repeat a doc_id with another text are documents of their own; null ids never name a
-    component unless all its ids are null. Other columns are not read. Shingles are compared by 64-bit hashes.
+    component unless all its ids are null. Other columns are not read. Shingles are compared by hashes.
     """
     spark = docs.sparkSession
     parts = 2 * partitions(spark)
@@ -327,11 +333,9 @@ def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: in
         for batch in batches:
             out_r, out_t = [], []
             for rid, n, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                own = np.frombuffer(blob, np.uint64)
-                m = len(own) // 2
-                take = m + (numerator * n) // -denominator + 1  # m - ceil(t * n) + 1
-                head = own[: max(0, take)]
-                out_t.append(head[own[m : m + len(head)] > 1])
+                own, count = unpack_ranked(blob)
+                take = max(0, len(own) + (numerator * n) // -denominator + 1)  # m - ceil(t * n) + 1
+                out_t.append(own[:take][count[:take] > 1])
                 out_r.append(np.full(len(out_t[-1]), rid, np.int64))
             tokens = np.concatenate(out_t) if out_t else np.zeros(0, np.uint64)
             ids = np.concatenate(out_r) if out_r else np.zeros(0, np.int64)
@@ -361,7 +365,7 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rids, ns, blobs = (batch.column(c).to_pylist() for c in range(3))
-            sets = [np.frombuffer(b, np.uint64) for b in blobs]
+            sets = [hashing.unpack48([b]) for b in blobs]
             token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             owner = np.repeat(np.array(rids, np.int64).view(np.uint64), [len(s) for s in sets])
             part = ((token >> np.uint64(20)) % np.uint64(parts)).astype(np.uint32)
@@ -369,7 +373,7 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
             rows = []
             for p, a, b in hashing.pieces(part[order]):
                 owners, counts = hashing.runs(owner[order[a:b]])
-                rows.append((p, _TOKENS, token[order[a:b]].tobytes(), owners, counts, None, None, None))
+                rows.append((p, _TOKENS, hashing.pack48(token[order[a:b]]), owners, counts, None, None, None))
             key = np.array(rids, np.int64).view(np.uint64)
             bucket = (key % np.uint64(parts)).astype(np.uint32)
             order = np.argsort(bucket, kind="stable")
@@ -382,20 +386,20 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
         t = table.filter(pc.equal(table["kind"], _TOKENS))
         key, n = hashing.joined(d["a"]), hashing.joined(d["b"], np.int64)
         owner = np.repeat(hashing.joined(t["b"]), hashing.joined(t["c"], np.uint32))
-        token, spread = hashing.joined(t["a"]), hashing.joined(t["d"], np.int32)
+        token, spread = hashing.unpack48(t["a"].to_pylist()), hashing.joined(t["d"], np.int32)
         by = np.argsort(key)
         key, n = key[by], n[by]
         at = np.searchsorted(key, owner)
         rank = np.lexsort((token, spread, at))
         token, spread = token[rank], spread[rank]
         cuts = np.searchsorted(at[rank], np.arange(len(key) + 1))
-        blobs = [token[a:b].tobytes() + spread[a:b].astype(np.uint64).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        blobs = [hashing.pack48(token[a:b]) + spread[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pa.table({"rid": pa.array(key.view(np.int64)), "n": pa.array(n), "tokens": pa.array(blobs, pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         out = [tuple(r[c] for c in _NAMES) for r in table.filter(pc.equal(table["kind"], _DOCS)).to_pylist()]
         t = table.filter(pc.equal(table["kind"], _TOKENS))
-        token = hashing.joined(t["a"])
+        token = hashing.unpack48(t["a"].to_pylist())
         owner = np.repeat(hashing.joined(t["b"]), hashing.joined(t["c"], np.uint32))
         _, inverse, held = np.unique(token, return_inverse=True, return_counts=True)
         spread = held[inverse].astype(np.int32) if len(token) else np.zeros(0, np.int32)
@@ -404,7 +408,7 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
         token, owner, spread = token[by], owner[by], spread[by]
         for p, a, b in hashing.pieces(bucket[by]):
             owners, counts = hashing.runs(owner[a:b])
-            out.append((p, _TOKENS, token[a:b].tobytes(), owners, counts, spread[a:b].tobytes(), None, None))
+            out.append((p, _TOKENS, hashing.pack48(token[a:b]), owners, counts, spread[a:b].tobytes(), None, None))
         return _rows(out)
 
     dealt = reps.select("rid", "n", "tokens").mapInArrow(deal, _SCHEMA).groupBy("part").applyInArrow(count, _SCHEMA)
