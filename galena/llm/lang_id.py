@@ -114,9 +114,12 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """
     known = labelled.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
     known = known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    top = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES)
-    order = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    ids = known.select("k", "l").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows).join(F.broadcast(top.select("l")), "l", "left_semi")
+    top = known.groupBy("l").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(MAX_LANGUAGES)
+    # a language's smallest hashes lie far below this share of all hashes, so that few rows are ordered at any size
+    place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
+    near = known.select("k", "l", place.alias("h")).join(F.broadcast(top), "l").where(F.col("h") <= F.lit(float(1 << 40)) * (8 * rows) / F.col("c"))
+    order = Window.partitionBy("l").orderBy("h", "k")
+    ids = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     sample = known.join(F.broadcast(ids.select("k", "l").distinct()), ["k", "l"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
