@@ -132,3 +132,11 @@ def test_tree_finds_what_all_pairs_find():
                 if 100 * o >= 80 * (sizes[i] + sizes[j] - o):
                     parent[find(i)] = find(j)
         assert [[roots[i] == roots[j] for j in range(n)] for i in range(n)] == [[find(i) == find(j) for j in range(n)] for i in range(n)]
+
+
+def test_six_byte_blobs():
+    from galena.llm import hashing
+
+    x = np.array([0, 1, 2**48 - 1, 12345678901234], np.uint64)
+    assert hashing.unpack48([hashing.pack48(x[:1]), None, b"", hashing.pack48(x[1:])]).tolist() == x.tolist()
+    assert len(hashing.pack48(x)) == 24 and not len(hashing.unpack48([]))
