@@ -22,7 +22,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("n"))
         step = labels.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        hop = step.select(F.col("x").alias("l"), F.col("l").alias("h"))
+        # labels that have a smaller label by now; most are roots, so this side stays small and no row of a large
+        # component has to meet the others of its label
+        hop = step.select("l").distinct().join(step.select(F.col("x").alias("l"), F.col("l").alias("h")), "l").where("l <> h")
         after = step.join(hop, "l", "left").select("x", "was", F.least("l", F.coalesce("h", "l")).alias("l"))
         after = cut(after, "labels")
         moved = after.where("l <> was").limit(1).count()
