@@ -21,13 +21,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     labels = cut(both.groupBy("x").agg(F.least(F.col("x"), F.min("y")).alias("l")), "labels")
     while True:
         near = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("n"))
-        step = labels.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        # labels that have a smaller label by now; most are roots, so this side stays small and no row of a large
-        # component has to meet the others of its label
-        hop = step.select("l").distinct().join(step.select(F.col("x").alias("l"), F.col("l").alias("h")), "l").where("l <> h")
-        after = step.join(hop, "l", "left").select("x", "was", F.least("l", F.coalesce("h", "l")).alias("l"))
-        after = cut(after, "labels")
-        moved = after.where("l <> was").limit(1).count()
-        labels = after.select("x", "l")
-        if not moved:
-            return labels.select(F.col("x").alias("id"), F.col("l").alias("label"))
+        step = cut(labels.join(near, "x").select("x", F.col("l").alias("was"), F.least("l", "n").alias("l")), "labels")
+        # labels that have a smaller label by now; most are roots, so this side stays small. Written, its size is known
+        # to the planner, which then need not bring the rows of a large component together by their label
+        own = step.select(F.col("x").alias("l"), F.col("l").alias("h")).where("l <> h")
+        hop = cut(step.select("l").distinct().join(own, "l"), "hops")
+        labels = step.join(hop, "l", "left").select("x", F.coalesce("h", "l").alias("l"))
+        if not step.where("l <> was").limit(1).count() and not hop.limit(1).count():
+            return step.select(F.col("x").alias("id"), F.col("l").alias("label"))
