@@ -2,8 +2,9 @@
 
 Learning counts every n-gram (n = 1, 2) of the training texts over the whole table. A count c is quantised to the level
 q = 1 + floor(log2 c), and the filter holds the n-gram at levels 1..q; a reader probes level after level until a miss.
-Each part of the hash space builds its own segment of the filter, BITS bits an entry, at most MAX_BYTES in all, so the
-broadcast has a fixed bound; beyond it no n-gram is dropped, only false positives grow.
+Each part of the hash space builds its own segment of the filter, BITS bits an entry at every size. A filter of at most
+MAX_BYTES is broadcast. The segments of a larger one stay in their parts: each batch of documents sends its distinct
+n-grams there and gets their levels back, with the same scores.
 
 The model's probability of w after v is a mix of the quantised bigram estimate and the smoothed quantised unigram.
 The base score needs exact counts. Words with at least one in HEAVY tokens are HEAVY words at most and are broadcast; a
@@ -12,6 +13,7 @@ rarer word sends a bounded share of the rows, so documents and counts of rarer w
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,16 +26,17 @@ from pyspark.sql import functions as F
 from galena.llm import hashing
 from galena.session import cut, partitions
 
-#: Bits per filter entry, probes per level, bound of the filter, tokens per counted and per scored batch, bound of the broadcast words.
+#: Bits per filter entry, probes per level, bound of a broadcast filter, tokens per counted and per scored batch, bound of the broadcast words.
 BITS, PROBES, MAX_BYTES, BATCH, SCORED, HEAVY = 8, 4, 256 * 2**20, 1_000_000, 250_000, 50_000
 #: Weight of the bigram estimate for frequent contexts, and the context count at which it is halved.
 LAMBDA, HALF = 0.3, 4.0
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _LEVEL, _BIGRAM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_COUNTS, _PAIRS, _FILTER, _DOCS, _WORDS = range(5)
+_COUNTS, _PAIRS, _FILTER, _DOCS, _WORDS, _ASKED, _LEVELS, _TEXTS = range(8)
 _SCHEMA = "part int, kind int, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(c, pa.binary()) for c in "abcd"])
 _ROW = np.dtype([("id", "<i8"), ("none", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("log", "<f8"), ("score", "<f8")])
+_KEYED = np.dtype([("key", "<u8"), ("info", _ROW)])
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -67,10 +70,11 @@ def _places(h: np.ndarray, level, m) -> Iterator[np.ndarray]:
         yield (one + np.uint64(i) * two) % m
 
 
-def segment(h: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The bytes of a filter segment that holds each n-gram at its levels."""
+def segment(h: np.ndarray, counts: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The bytes of a filter segment that holds each n-gram at its levels; `most` bounds them."""
     q = levels(counts)
-    size = int(min(most, max(8, int(q.sum()) * BITS // 8 + 1)))
+    size = max(8, int(q.sum()) * BITS // 8 + 1)
+    size = size if most is None else int(min(most, size))
     bits = np.zeros(size * 8, bool)
     m = np.uint64(size * 8)
     for level in range(1, int(q.max(initial=0)) + 1):
@@ -111,12 +115,13 @@ class Model:
             out[live] = level
         return out
 
-    def scores(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def scores(self, tokens: np.ndarray, starts: np.ndarray, probe=None) -> np.ndarray:
         """log10 probability of each of the concatenated texts (none is without tokens: the end is one)."""
+        probe = probe or self.probe
         words, inverse = np.unique(tokens, return_inverse=True)
-        count = estimate(self.probe(words))[inverse]
+        count = estimate(probe(words))[inverse]
         pairs, at = np.unique(bigrams(tokens, starts), return_inverse=True)
-        both = estimate(self.probe(pairs))[at]
+        both = estimate(probe(pairs))[at]
         context = np.r_[0.0, count[:-1]]
         context[starts] = self.texts
         share = LAMBDA * context / (context + HALF)
@@ -169,7 +174,7 @@ def _sum(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[cuts], np.add.reduceat(n, cuts) if len(cuts) else n[:0]
 
 
-def _build(parts: int, most: int):
+def _build():
     """The counts of one part -> its exact word counts and its filter segment."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -179,18 +184,18 @@ def _build(parts: int, most: int):
             t = table.filter(pc.equal(table["kind"], kind))
             both.append(_sum(hashing.joined(t["a"]), hashing.joined(t["b"], np.uint32).astype(np.int64)))
         (h, n), (ph, pn) = both
-        bits = segment(np.r_[h, ph], np.r_[n, pn], max(8, most // parts))
+        bits = segment(np.r_[h, ph], np.r_[n, pn])
         return _table([(part, _COUNTS, h.tobytes(), n.tobytes(), None, None), (part, _FILTER, bits.tobytes(), None, None, None)])
 
     return run
 
 
-def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES) -> tuple[Model, DataFrame]:
-    """The model of all training texts, and the table of exact word counts by part."""
+def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model of all training texts, the table of exact word counts by part, and that of the filter's segments if they are over max_bytes."""
     spark = training.sparkSession
     parts = partitions(spark)
     counted = training.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_count(parts), _SCHEMA)
-    built = cut(counted.groupBy("part").applyInArrow(_build(parts, max_bytes), _SCHEMA), "lm")
+    built = cut(counted.groupBy("part").applyInArrow(_build(), _SCHEMA), "lm")
     counts, pieces = built.where(F.col("kind") == _COUNTS), built.where(F.col("kind") == _FILTER)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,52 +216,129 @@ def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES) -
             yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(n[own])], ["h", "n"])
 
     heavy = counts.select("a", "b").mapInArrow(often, "h long, n long").toPandas().sort_values("h")
+    h = heavy["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    own = tokens, kinds, texts, h[order], heavy["n"].to_numpy(np.int64)[order]
+    if (pieces.agg(F.sum(F.octet_length("a"))).first()[0] or 0) > max_bytes:
+        return Model(np.zeros(0, np.uint8), np.zeros(parts + 1, np.int64), *own), counts, pieces
     found = {r.part: r.a for r in pieces.select("part", "a").toLocalIterator()}
     sizes = [len(found.get(p, b"")) for p in range(parts)]
     bits = np.frombuffer(b"".join(bytes(found.get(p, b"")) for p in range(parts)), np.uint8)
-    h = heavy["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return Model(bits, np.r_[0, np.cumsum(sizes)].astype(np.int64), tokens, kinds, texts, h[order], heavy["n"].to_numpy(np.int64)[order]), counts
+    return Model(bits, np.r_[0, np.cumsum(sizes)].astype(np.int64), *own), counts, None
+
+
+def _info(rows: list[tuple], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of (key, id, held, text) rows, and what is known of them before they are scored."""
+    info = np.zeros(len(rows), _ROW)
+    info["id"] = [r[1] or 0 for r in rows]
+    info["none"] = [r[1] is None for r in rows]
+    info["held"] = [r[2] for r in rows]
+    info["n"] = sizes
+    return np.array([r[0] for r in rows], np.int64).view(np.uint64), info
+
+
+def _rows(parts: int, model: Model, key: np.ndarray, info: np.ndarray, tokens: np.ndarray) -> list[tuple]:
+    """Document rows dealt by key; the documents' rarer words dealt by hash."""
+    doc = np.repeat(np.arange(len(info)), info["n"])
+    at = np.minimum(np.searchsorted(model.heavy, tokens), max(0, len(model.heavy) - 1))
+    hit = model.heavy[at] == tokens if len(model.heavy) else np.zeros(len(tokens), bool)
+    if hit.any():
+        info["known"] = np.bincount(doc[hit], minlength=len(info))
+        info["log"] = np.bincount(doc[hit], np.log10(model.heavy_counts[at[hit]] + 1.0), len(info))
+    bucket = (key % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    out = [(p, _DOCS, key[order[a:b]].tobytes(), info[order[a:b]].tobytes(), None, None) for p, a, b in hashing.pieces(bucket[order])]
+    rare, by = tokens[~hit], doc[~hit]
+    part = _part(rare, parts)
+    order = np.argsort(part, kind="stable")
+    for p, a, b in hashing.pieces(part[order]):
+        own = order[a:b]
+        owners, runs = hashing.runs(key[by[own]])
+        out.append((p, _WORDS, rare[own].tobytes(), owners, runs, None))
+    return out
 
 
 def _score(parts: int, shared):
-    """Documents -> document rows dealt by key; their rarer words dealt by hash."""
+    """Documents -> document rows and rarer words, scored by the broadcast filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         memo = hashing.WordHash(150_000)
         for rows in _batches(batches, 3, SCORED):
             tokens, starts = _tokens([r[3] for r in rows], memo)
-            sizes = np.diff(np.r_[starts, len(tokens)])
-            key = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-            doc = np.repeat(np.arange(len(rows)), sizes)
-            at = np.minimum(np.searchsorted(model.heavy, tokens), max(0, len(model.heavy) - 1))
-            hit = model.heavy[at] == tokens if len(model.heavy) else np.zeros(len(tokens), bool)
-            info = np.zeros(len(rows), _ROW)
-            info["id"] = [r[1] or 0 for r in rows]
-            info["none"] = [r[1] is None for r in rows]
-            info["held"] = [r[2] for r in rows]
-            info["n"] = sizes
-            if hit.any():
-                info["known"] = np.bincount(doc[hit], minlength=len(rows))
-                info["log"] = np.bincount(doc[hit], np.log10(model.heavy_counts[at[hit]] + 1.0), len(rows))
+            key, info = _info(rows, np.diff(np.r_[starts, len(tokens)]))
             info["score"] = model.scores(tokens, starts)
-            out = []
-            bucket = (key % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            out += [(p, _DOCS, key[order[a:b]].tobytes(), info[order[a:b]].tobytes(), None, None) for p, a, b in hashing.pieces(bucket[order])]
-            rare, by = tokens[~hit], doc[~hit]
-            part = _part(rare, parts)
-            order = np.argsort(part, kind="stable")
-            for p, a, b in hashing.pieces(part[order]):
-                own = order[a:b]
-                owners, runs = hashing.runs(key[by[own]])
-                out.append((p, _WORDS, rare[own].tobytes(), owners, runs, None))
+            yield from _table(_rows(parts, model, key, info, tokens)).to_batches()
+
+    return run
+
+
+def _grams(tokens: np.ndarray, starts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of concatenated texts, their order by part, and their parts in that order."""
+    grams = np.unique(np.r_[tokens, bigrams(tokens, starts)])
+    part = _part(grams, parts)
+    order = np.argsort(part, kind="stable")
+    return grams, order, part[order]
+
+
+def _ask(parts: int):
+    """Documents -> the distinct n-grams of each batch dealt by hash, and the batch's tokens under its own name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = hashing.WordHash(150_000)
+        for rows in _batches(batches, 3, BATCH):
+            tokens, starts = _tokens([r[3] for r in rows], memo)
+            key, info = _info(rows, np.diff(np.r_[starts, len(tokens)]))
+            keyed = np.zeros(len(rows), _KEYED)
+            keyed["key"], keyed["info"] = key, info
+            words, at = np.unique(tokens, return_inverse=True)
+            name = uuid.uuid4().bytes
+            grams, order, part = _grams(tokens, starts, parts)
+            out = [(0, _TEXTS, words.tobytes(), at.astype(np.uint32).tobytes(), keyed.tobytes(), name)]
+            out += [(p, _ASKED, grams[order[a:b]].tobytes(), None, None, name) for p, a, b in hashing.pieces(part)]
             yield from _table(out).to_batches()
 
     return run
 
 
+def _answer(table: pa.Table) -> pa.Table:
+    """The filter's segment of one part and the n-grams asked of it -> their levels, in the order asked."""
+    bits = hashing.joined(table.filter(pc.equal(table["kind"], _FILTER))["a"], np.uint8)
+    none = np.zeros(0, np.uint64)
+    model = Model(bits, np.array([0, len(bits)], np.int64), 0, 0, 0, none, none.view(np.int64))
+    asked = table.filter(pc.equal(table["kind"], _ASKED)).select(["part", "a", "d"])
+    out: list[tuple] = []
+    held, size = [], 0
+    for i, row in enumerate(zip(*(c.to_pylist() for c in asked.columns), strict=True)):
+        held.append(row)
+        size += len(row[1]) // 8
+        if size >= BATCH or i == len(asked) - 1:  # some rows at once, as a row may have few
+            level = model.probe(np.frombuffer(b"".join(r[1] for r in held), np.uint64)).astype(np.uint8)
+            ends = np.cumsum([len(r[1]) // 8 for r in held])
+            out += [(p, _LEVELS, x.tobytes(), None, None, name) for (p, _, name), x in zip(held, np.split(level, ends[:-1]), strict=True)]
+            held, size = [], 0
+    return _table(out)
+
+
+def _answered(parts: int, shared):
+    """A batch's tokens and the levels of its n-grams -> document rows and rarer words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        model: Model = shared.value
+        t = table.filter(pc.equal(table["kind"], _TEXTS))
+        tokens = hashing.joined(t["a"])[hashing.joined(t["b"], np.uint32)]
+        keyed = np.frombuffer(b"".join(t["c"].to_pylist()), _KEYED)
+        key, info = keyed["key"].copy(), keyed["info"].copy()
+        starts = np.cumsum(info["n"]) - info["n"]
+        grams, order, _ = _grams(tokens, starts, parts)
+        level = np.zeros(len(grams), np.int64)
+        level[order] = hashing.joined(table.filter(pc.equal(table["kind"], _LEVELS)).sort_by("part")["a"], np.uint8)
+        info["score"] = model.scores(tokens, starts, lambda h: level[np.searchsorted(grams, h)])
+        return _table(_rows(parts, model, key, info, tokens))
+
+    return run
+
+
 def _meet(parts: int):
     """The counts and rarer words of one part -> sums per document; document rows go through."""
 
@@ -310,12 +392,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
 
     Learned from the documents that are not held out. A null text is empty and has the end token alone; without training
     texts every token is unknown. Words are compared by 64-bit hashes. Rows that repeat keep their own result rows.
+    max_bytes decides whether the filter is broadcast; no result depends on it.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    model, counts = learn(docs.where(~held_out(F.col(key))), text, max_bytes)
-    shared = spark.sparkContext.broadcast(model)  # at most max_bytes and HEAVY words
+    model, counts, segments = learn(docs.where(~held_out(F.col(key))), text, max_bytes)
+    shared = spark.sparkContext.broadcast(model)  # at most max_bytes and HEAVY words; without the filter if it is larger
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("id"), held_out(F.col(key)).alias("held"), F.col(text).alias("t"))
-    scored = rows.mapInArrow(_score(parts, shared), _SCHEMA).union(counts)
-    met = scored.groupBy("part").applyInArrow(_meet(parts), _SCHEMA)
+    if segments is None:
+        scored = rows.mapInArrow(_score(parts, shared), _SCHEMA)
+    else:
+        asked = cut(rows.mapInArrow(_ask(parts), _SCHEMA), "lm-asked")  # batches are named at random, so they are made once
+        answers = asked.where(F.col("kind") == _ASKED).union(segments).groupBy("part").applyInArrow(_answer, _SCHEMA)
+        scored = answers.union(asked.where(F.col("kind") == _TEXTS)).groupBy("d").applyInArrow(_answered(parts, shared), _SCHEMA)
+    met = scored.union(counts).groupBy("part").applyInArrow(_meet(parts), _SCHEMA)
     return met.groupBy("part").applyInArrow(_finish(model.tokens, model.kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -73,3 +73,13 @@ def test_a_bounded_filter_drops_nothing():
     bits = lm_score.segment(h, np.ones(5000, np.int64), 512)
     model = lm_score.Model(bits, np.array([0, len(bits)]), 1, 1, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64))
     assert len(bits) == 512 and (model.probe(h) >= 1).all()
+
+
+def test_a_filter_over_its_bound_gives_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 300)
+    rows = [(i, " ".join(f"w{i * j % 997}" for j in range(i % 60))) for i in range(1, 200)] + [(r[0], r[1]) for r in AWKWARD]
+    d = docs(spark, rows)
+    get = lambda **k: sorted(map(tuple, lm_score.score(d, **k).collect()), key=repr)
+    got = lm_score.score(d, max_bytes=64).collect()
+    check(rows, got)
+    assert sorted(map(tuple, got), key=repr) == get()
