@@ -298,6 +298,9 @@ def _judge(length: int):
         none, own, key = np.asarray(table["id"].is_null()), np.asarray(pc.fill_null(table["id"], 0)), np.asarray(table["key"]).view(np.uint64)
         first = np.asarray(table["first"])
         order = np.lexsort((first, key, own, none))
+        new = np.ones(len(order), bool)  # rows equal in id and text send each segment again: it counts once
+        new[1:] = (key[order][1:] != key[order][:-1]) | (first[order][1:] != first[order][:-1])
+        order = order[new]
         raw = table["bytes"].to_pylist()
         parts = [np.frombuffer(raw[i], np.uint8) for i in order]
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -351,9 +354,13 @@ def _cutter(length: int):
     schema = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
             for key, own, text, h, pairs in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+                if key == before:  # a repeated row; those that lie apart are merged by _judge
+                    continue
+                before = key
                 raw = text.encode("utf-8", "surrogatepass")
                 for value, (a, b) in zip(np.frombuffer(h, np.int64).tolist(), np.frombuffer(pairs, np.uint32).reshape(-1, 2).tolist(), strict=True):
                     for c, x in zip(cols, (value, own, key, a, raw[a : b + length]), strict=True):

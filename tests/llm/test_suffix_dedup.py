@@ -102,3 +102,16 @@ def test_factor_arrays():
         assert got.tolist() == want
     x = rng.permutation(500)
     assert D.nearest_smaller(x).tolist() == [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(500)]
+
+
+def test_repeated_rows_that_overlap_others_count_once(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [noise(180) for _ in range(4)]
+    rows = [(i, noise(150) + rng.choice(shared) + noise(150) + rng.choice(shared) + noise(20)) for i in range(12)]
+    rows.append((50, noise(60) + rows[0][1][40:260] + noise(60)))
+    repeats = [rows[0], rows[3], rows[3], rows[7], rows[-1]]
+    want = check(spark, rows)
+    got = D.dedup(docs(spark, [*rows, *repeats]).repartition(3), 100).collect()
+    assert len(got) == len(rows) + len(repeats)
+    assert all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id] for r in got)
