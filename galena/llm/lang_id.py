@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDER = 3
-#: The bound of the training sample: rows per language, in the order of a hash of the key, and languages.
+#: The bound of the training sample: rows per language, in the order of a hash of the key. Every label is learned.
 ROWS_PER_LANGUAGE = 400
-MAX_LANGUAGES = 64
 UNKNOWN = "und"
 
 
@@ -107,17 +106,17 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fit on at most `rows` whole texts of each language (and MAX_LANGUAGES languages, the most frequent first).
+    """Fit on at most `rows` whole texts of each language; every label is one.
 
     Rows with a null text, lang or an empty text are left out. The sample is the smallest hashes of the key, so reruns
     agree; only window counts (at most the distinct 4-byte windows of the sample) come to the driver.
     """
     known = labelled.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
     known = known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    top = known.groupBy("l").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "l").limit(MAX_LANGUAGES)
+    labels = known.groupBy("l").agg(F.count("*").alias("c"))
     # a language's smallest hashes lie far below this share of all hashes, so that few rows are ordered at any size
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
-    near = known.select("k", "l", place.alias("h")).join(F.broadcast(top), "l").where(F.col("h") <= F.lit(float(1 << 40)) * (8 * rows) / F.col("c"))
+    near = known.select("k", "l", place.alias("h")).join(F.broadcast(labels), "l").where(F.col("h") <= F.lit(float(1 << 40)) * (8 * rows) / F.col("c"))
     order = Window.partitionBy("l").orderBy("h", "k")
     ids = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     sample = known.join(F.broadcast(ids.select("k", "l").distinct()), ["k", "l"], "left_semi")
@@ -137,7 +136,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def predict(text: Column, model: Model, spark) -> Column:
     """struct<lang: string, score: double> of each whole text; `und` with score 0 for null, for no letter, or for a model without languages."""
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGUAGES trees of a bounded sample
+    shared = spark.sparkContext.broadcast(model)  # a tree per label, each of a bounded sample
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -84,3 +84,13 @@ def test_sample_bound(spark):
     rows = [(i, f"aa{i}", "x") for i in range(50)]
     model = lang_id.train(docs(spark, rows), rows=3)
     assert model.languages == ["x"]
+
+
+def test_every_label_is_learned(spark):
+    text = [f"{a}{b} " * 6 for a in "abcdefghij" for b in "klmnopq"]
+    rows = [(100 * j + i, t, f"l{j:02}") for j, t in enumerate(text) for i in range(4 if j < 64 else 2)]
+    d = docs(spark, rows)
+    model = lang_id.train(d)
+    assert model.languages == [f"l{j:02}" for j in range(70)]
+    got = d.withColumn("g", lang_id.predict(F.col("text"), model, spark)).collect()
+    assert all(r.g.lang == r.lang for r in got)
