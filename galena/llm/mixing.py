@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.session import cut
+
 WEIGHTS = (5, 2, 1)
 SHARE_NUMERATOR, SHARE_DENOMINATOR, CAP = 3, 2, 2
 #: Weight at the start and the end of training, cycling over the sources as the weights do.
@@ -54,24 +56,28 @@ def _position(share: Column, start: Column, end: Column) -> Column:
     return F.when(F.abs(slope) < 1e-12, share).otherwise(bent)
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE) -> DataFrame:
-    """A row per document: key, size, source_size, target, copies, taken, positions (one per copy, ascending).
-
-    Running sums within a source go over 65,536 hash buckets: the sums of the buckets first, then within a bucket, so
-    that no task holds a whole source. Rows with equal keys share a place in the order; a null key is ordered as the
-    text 'null'. Sources of no words have target 0; an empty table gives an empty result.
-    """
-    k = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary"))
+def _planned(docs: DataFrame, key: str, text: str, source: str, weights: tuple, schedule: tuple, carry: bool) -> DataFrame:
+    """mix(), with all columns of docs as the struct `row` if carry."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(None)
     sized = docs.select(
-        F.col(key).alias("key"), words(F.col(text)).alias("size"), k.alias("h"), F.substring(k, 1, 4).alias("bucket"),
+        F.col(key).alias("key"), words(F.col(text)).alias("size"), F.xxhash64(text).alias("tie"),
         F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")).alias("source_key"),
     )
-    goals = targets(sized, weights)
-    sums = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source_key", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
-    inner = Window.partitionBy("source_key", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("run", F.sum("size").over(inner)).join(sums, ["source_key", "bucket"]).join(goals, "source_key")
+    if carry:
+        sums_of, sized = sized, docs.select(own.alias("row")).select("row", *[_within(c, key, text, source) for c in ("key", "size", "tie", "source_key")])
+    else:
+        sums_of = sized = cut(sized, "sizes")  # the texts are read once; what follows reads some 40 bytes a document
+    placed = _hashed(sized)
+    sums = _hashed(sums_of).groupBy("source_key", "group", "bucket").agg(F.sum("size").alias("n"))
+    sums = cut(sums, "sums")
+    goals = targets(sums.select("source_key", F.col("n").alias("size")), weights)
+    before = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sums.groupBy("source_key", "group").agg(F.sum("n").alias("n"))
+    groups = groups.select("source_key", "group", before(["source_key"], "group").alias("outer"))
+    sums = sums.select("source_key", "group", "bucket", before(["source_key", "group"], "bucket").alias("inner"))
+    sums = sums.join(groups, ["source_key", "group"]).join(goals, "source_key").withColumn("ahead", F.col("outer") + F.col("inner"))
+    inner = Window.partitionBy("source_key", "bucket").orderBy("h", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("run", F.sum("size").over(inner)).join(sums.drop("group", "outer", "inner"), ["source_key", "bucket"])
     start = F.col("ahead") + F.col("run") - F.col("size")
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = placed.withColumn("start", start).withColumn("full", full)
@@ -82,17 +88,43 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     demand = F.greatest(F.col("target"), F.lit(1.0))
     spot = lambda c: _position(F.least(F.lit(1.0), ((c - 1) * F.col("source_size") + F.col("start")) / demand), low, high)
     spots = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))), spot)).otherwise(F.array().cast("array<double>"))
-    return placed.select("key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), spots.alias("positions"))
+    columns = ["key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), spots.alias("positions")]
+    return placed.select(*columns, *(["row"] if carry else []))
+
+
+def _within(what: str, key: str, text: str, source: str) -> Column:
+    """One of the columns of `sized`, from the struct that holds a whole row."""
+    of = lambda c: F.col("row").getField(c)
+    return {
+        "key": of(key), "size": words(of(text)), "tie": F.xxhash64(of(text)),
+        "source_key": F.struct(of(source).isNull().alias("none"), F.coalesce(of(source).cast("string"), F.lit("")).alias("name")),
+    }[what].alias(what)
+
+
+def _hashed(sized: DataFrame) -> DataFrame:
+    """sized with h, the hash that orders a source's documents, and its leading digits: 256 groups of 256 buckets."""
+    d = sized.withColumn("h", F.md5(F.coalesce(F.col("key").cast("string"), F.lit("null")).cast("binary")))
+    return d.withColumns({"group": F.substring("h", 1, 2), "bucket": F.substring("h", 1, 4)})
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE) -> DataFrame:
+    """A row per document: key, size, source_size, target, copies, taken, positions (one per copy, ascending).
+
+    Running sums within a source go over 256 groups of 256 hash buckets: the sums of the groups, of a group's buckets, then
+    within a bucket, so that no task holds a whole source or all its buckets. Rows with equal keys share a bucket and are
+    told apart by size and text; equal rows follow each other. A null key is ordered as the text 'null'. Sources of no
+    words have target 0; an empty table gives an empty result. Other columns are not read. The targets themselves are
+    ordered in one task, a row per source.
+    """
+    return _planned(docs, key, text, source, weights, schedule, False)
 
 
-def training_order(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def training_order(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, schedule: tuple = SCHEDULE) -> DataFrame:
     """The documents of the mix with all their columns, a row per copy, range-sorted by training position.
 
-    Rows that repeat a key are told apart by their text; equal rows are mixed alike.
+    Whole rows travel with their plan, so rows that repeat a key, a text or everything get the copies planned for each.
+    Rows without words are not taken, nor is anything of an empty table. Columns may have any names.
     """
-    own = docs.columns
-    plan = mix(docs, key, **options).groupBy(F.col("key").alias("_mix_key"), F.col("size").alias("_mix_size")).agg(F.min("positions").alias("_mix_spots"))
-    keyed = docs.withColumn("_mix_words", words(F.col(options.get("text", "text"))))
-    joined = keyed.join(plan, F.col(key).eqNullSafe(F.col("_mix_key")) & (F.col("_mix_words") == F.col("_mix_size")))
-    spread = joined.select(*own, F.explode("_mix_spots").alias("_mix_spot"))
-    return spread.repartitionByRange(F.col("_mix_spot"), F.col(key)).sortWithinPartitions("_mix_spot", key).select(*own)
+    spread = _planned(docs, key, text, source, weights, schedule, True).select("row", "key", F.explode("positions").alias("spot"))
+    ordered = spread.repartitionByRange(F.col("spot"), F.col("key")).sortWithinPartitions("spot", "key")
+    return ordered.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -46,7 +46,11 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+    """The mix in training order: documents range-sorted by their first position, those that the mix leaves out last."""
+    d = mixing.mix(_table(spark, sf_dir, "documents")).withColumns({"first_position": F.get("positions", F.lit(0)), "last_position": F.get("positions", F.size("positions") - 1)})
+    d = d.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
+    order = [F.asc_nulls_last("first_position"), F.asc("doc_id")]
+    return d.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,12 +87,17 @@ levels AS (SELECT *, row_number() OVER o AS rn,
   / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS lvl
   FROM capped WINDOW o AS (ORDER BY cap::DOUBLE / w, idx)),
 fill AS (SELECT arg_min(lvl, rn) AS f FROM levels WHERE cap > w * lvl),
-goals AS (SELECT none, name, source_size, CASE WHEN cap > w * f THEN w * f ELSE cap::DOUBLE END AS target FROM levels, fill),
-placed AS (SELECT s.doc_id, s.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS full_copies,
+goals AS (SELECT none, name, idx, source_size, CASE WHEN cap > w * f THEN w * f ELSE cap::DOUBLE END AS target FROM levels, fill),
+placed AS (SELECT s.doc_id, s.size, g.source_size, g.target,
+  CASE idx % 3 WHEN 2 THEN 3.0 ELSE 1.0 END::DOUBLE AS w0, CASE idx % 3 WHEN 0 THEN 3.0 ELSE 1.0 END::DOUBLE AS w1, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS full_copies,
   sum(s.size) OVER (PARTITION BY s.none, s.name ORDER BY h, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS start
-  FROM sized s JOIN goals g ON s.none = g.none AND s.name = g.name)
-SELECT doc_id, size, source_size, target,
-  ((full_copies + CASE WHEN size > 0 AND start + size / 2.0 <= target - full_copies * source_size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM placed""",
+  FROM sized s JOIN goals g ON s.none = g.none AND s.name = g.name),
+counted AS (SELECT *, (full_copies + CASE WHEN size > 0 AND start + size / 2.0 <= target - full_copies * source_size THEN 1 ELSE 0 END)::INT AS copies FROM placed),
+shares AS (SELECT *, least(1.0::DOUBLE, start::DOUBLE / greatest(target, 1.0::DOUBLE)) AS s1,
+  least(1.0::DOUBLE, ((copies - 1) * source_size + start)::DOUBLE / greatest(target, 1.0::DOUBLE)) AS s2 FROM counted)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN CASE WHEN w1 = w0 THEN s1 ELSE (sqrt(w0 * w0 + (w1 - w0) * (w0 + w1) * s1) - w0) / (w1 - w0) END END AS first_position,
+  CASE WHEN copies > 0 THEN CASE WHEN w1 = w0 THEN s2 ELSE (sqrt(w0 * w0 + (w1 - w0) * (w0 + w1) * s2) - w0) / (w1 - w0) END END AS last_position FROM shares""",
     "op9_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS hex, min(page_id) OVER (PARTITION BY sha1(b)) AS first FROM p)

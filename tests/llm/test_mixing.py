@@ -67,6 +67,19 @@ def test_training_order(spark):
     assert len(first) == plan
 
 
+def test_rows_of_one_key_keep_their_own_copies(spark):
+    rows = [(1, "six words of the first source", "en", "a"), (1, "six words of the other source", "en", "b"), (1, "six words of the other source", "en", "b")]
+    rows += [(i, "some more words here for both " * 3, "en", "ab"[i % 2]) for i in range(2, 40)]
+    d = docs(spark, rows).withColumns({"row": F.lit(1), "positions": F.lit("p"), "h": F.lit("h"), "a.b": F.lit("dot")})
+    out = mixing.training_order(d)
+    assert out.columns == d.columns
+    got = {r.source: r["count"] for r in out.groupBy("source").count().collect()}
+    of = {r.source: r.n for r in d.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    assert of["a"] != of["b"]  # a source is known by its size below
+    planned = {r.source_size: r.n for r in mixing.mix(d).groupBy("source_size").agg(F.sum("copies").alias("n")).collect()}
+    assert got == {s: planned[n] for s, n in of.items()}
+
+
 def test_awkward_rows(spark):
     d = docs(spark, AWKWARD).withColumns({"size": F.lit("x"), "target": F.lit(1)})
     got = mixing.mix(d).collect()
