@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm import hashing
+
 _END = "</w>"
 _NO_RANK = np.iinfo(np.int64).max
 #: Fixed values of the vocabulary's format: contractions, letter runs, single digits, runs of the rest.
@@ -228,5 +230,6 @@ def round_trip(text: Column, path: str) -> Column:
 
 def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with the token ids of its texts and the text that they decode to. Columns of these names are replaced."""
-    both = df.withColumn("_both", round_trip(F.col(text), path))
-    return both.withColumn(ids, F.col("_both.ids")).withColumn(decoded, F.col("_both.decoded")).drop("_both")
+    own = hashing.free(df, "both")
+    both = df.withColumn(own, round_trip(F.col(text), path))
+    return both.withColumns({ids: F.col(own).getField("ids"), decoded: F.col(own).getField("decoded")}).drop(own)

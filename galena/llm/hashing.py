@@ -4,11 +4,39 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from galena.session import partitions
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 0xC2B2AE3D27D4EB4F
 
 
+def free(df: DataFrame, stem: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def text_bytes(df: DataFrame, text: str) -> int:
+    """About how many bytes the texts have: from the files' sizes where df only reads, selects and filters, else summed."""
+    plan = df.select(text)._jdf.queryExecution().optimizedPlan()
+    stats = plan.stats().sizeInBytes()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.nodeName().startswith("Relation") or plan.nodeName() == "LogicalRelation":
+        return int(str(stats))
+    return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
+def parts(df: DataFrame, text: str, each: int = 32 << 20) -> int:
+    """Into how many parts texts are dealt: one per `each` bytes, and no fewer than the shuffle's partitions. It steers memory, not results."""
+    return max(partitions(df.sparkSession), text_bytes(df, text) // each)
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for at most `memo` words."""
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galena.llm import hashing
+
 ORDER = 3
 #: The bound of the training sample: rows per language, in the order of a hash of the key. Every label is learned.
 ROWS_PER_LANGUAGE = 400
@@ -108,18 +110,19 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on at most `rows` whole texts of each language; every label is one.
 
-    Rows with a null text, lang or an empty text are left out. The sample is the smallest hashes of the key, so reruns
-    agree; only window counts (at most the distinct 4-byte windows of the sample) come to the driver.
+    Rows with a null text, lang or an empty text are left out. The sample is the smallest hashes of key and text, so reruns
+    agree; rows equal in both count once. Only window counts (at most the distinct 4-byte windows of the sample) come to the
+    driver.
     """
     known = labelled.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
-    known = known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    known = known.select(F.xxhash64(key, text).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
     labels = known.groupBy("l").agg(F.count("*").alias("c"))
     # a language's smallest hashes lie far below this share of all hashes, so that few rows are ordered at any size
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
     near = known.select("k", "l", place.alias("h")).join(F.broadcast(labels), "l").where(F.col("h") <= F.lit(float(1 << 40)) * (8 * rows) / F.col("c"))
     order = Window.partitionBy("l").orderBy("h", "k")
-    ids = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
-    sample = known.join(F.broadcast(ids.select("k", "l").distinct()), ["k", "l"], "left_semi")
+    ids = near.dropDuplicates(["k", "l"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    sample = known.join(F.broadcast(ids.select("k", "l")), ["k", "l"], "left_semi").dropDuplicates(["k", "l"])  # `rows` a label
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,5 +168,6 @@ def held_out(key: Column, folds: int = 5, fold: int = 0) -> Column:
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """docs with held_out, lang_pred and score; learned from the labelled rows that are not held out. Columns of these names are replaced."""
     model = train(docs.where(~held_out(F.col(key))), key, text, lang, rows)
-    guess = docs.withColumn("held_out", held_out(F.col(key))).withColumn("_g", predict(F.col(text), model, docs.sparkSession))
-    return guess.withColumn("lang_pred", F.col("_g.lang")).withColumn("score", F.col("_g.score")).drop("_g")
+    own = hashing.free(docs, "guess")
+    guess = docs.withColumn(own, predict(F.col(text), model, docs.sparkSession))
+    return guess.withColumns({"held_out": held_out(F.col(key)), "lang_pred": F.col(own).getField("lang"), "score": F.col(own).getField("score")}).drop(own)

@@ -1,12 +1,15 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 8).
 
-Learning counts every n-gram (n = 1, 2) of the training texts over the whole table. A count c is quantised to the level
+Learning counts every n-gram (n = 1, 2, 3) of the training texts over the whole table. A count c is quantised to the level
 q = 1 + floor(log2 c), and the filter holds the n-gram at levels 1..q; a reader probes level after level until a miss.
+Trigrams enter from LEAST times on, as most others never come again. The PROBES bits of an entry lie in one 64-bit word, so
+that a probe reads memory once.
 Each part of the hash space builds its own segment of the filter, BITS bits an entry at every size. A filter of at most
 MAX_BYTES is broadcast. The segments of a larger one stay in their parts: each batch of documents sends its distinct
 n-grams there and gets their levels back, with the same scores.
 
-The model's probability of w after v is a mix of the quantised bigram estimate and the smoothed quantised unigram.
+The model's probability of w after u v mixes the quantised trigram estimate with that of w after v, and this one with the
+smoothed quantised unigram; the weights grow with the context's count. Every estimate is at most 1, and so is the mix.
 The base score needs exact counts. Words with at least one in HEAVY tokens are HEAVY words at most and are broadcast; a
 rarer word sends a bounded share of the rows, so documents and counts of rarer words meet by hash without hot keys.
 """
@@ -24,15 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm import hashing
-from galena.session import cut, partitions
+from galena.session import cut
 
 #: Bits per filter entry, probes per level, bound of a broadcast filter, tokens per counted and per scored batch, bound of the broadcast words.
 BITS, PROBES, MAX_BYTES, BATCH, SCORED, HEAVY = 8, 4, 256 * 2**20, 1_000_000, 250_000, 50_000
-#: Weight of the bigram estimate for frequent contexts, and the context count at which it is halved.
-LAMBDA, HALF = 0.3, 4.0
+#: Of bigrams and of trigrams: the weight of the estimate for frequent contexts, and the context count at which it is halved.
+WEIGHTS, HALVES = (0.5, 0.5), (4.0, 2.0)
+#: Count from which trigrams enter the filter; bytes of text per part.
+LEAST, EACH = 2, 8 << 20
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
-_LEVEL, _BIGRAM = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_COUNTS, _PAIRS, _FILTER, _DOCS, _WORDS, _ASKED, _LEVELS, _TEXTS = range(8)
+_LEVEL, _NEXT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_COUNTS, _PAIRS, _TRIPLES, _FILTER, _DOCS, _WORDS, _ASKED, _LEVELS, _TEXTS = range(9)
 _SCHEMA = "part int, kind int, a binary, b binary, c binary, d binary"
 _ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(c, pa.binary()) for c in "abcd"])
 _ROW = np.dtype([("id", "<i8"), ("none", "?"), ("held", "?"), ("n", "<i8"), ("known", "<i8"), ("log", "<f8"), ("score", "<f8")])
@@ -47,11 +52,19 @@ def _part(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
 
 
-def bigrams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of (previous token, token) for each token of concatenated texts that start at `starts`."""
-    before = np.r_[_START, tokens[:-1]]
-    before[starts] = _START
-    return hashing.mix(before * _BIGRAM + tokens)
+def _after(values: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """values moved on by one within each of the concatenated texts that start at `starts`."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[starts] = first
+    return out
+
+
+def bigrams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes below 2**48 of the last two and of the last three tokens up to each token of concatenated texts."""
+    two = hashing.mix(_after(tokens, starts, _START) * _NEXT + tokens)
+    three = hashing.mix(_after(two, starts, _START) * _NEXT + tokens)
+    return two >> np.uint64(16), three >> np.uint64(16)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -63,29 +76,30 @@ def estimate(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (3 * np.exp2(level - 1.0) - 1) / 2, 0.0)
 
 
-def _places(h: np.ndarray, level, m) -> Iterator[np.ndarray]:
-    g = hashing.mix(h + np.asarray(level).astype(np.uint64) * _LEVEL)
-    one, two = g & np.uint64(0xFFFFFFFF), (g >> np.uint64(32)) | np.uint64(1)
+def _spots(h: np.ndarray, level: int, words) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each n-gram at a level in a segment of so many words, and its bits there."""
+    g = hashing.mix(h + np.array([level], np.uint64) * _LEVEL)
+    mask = np.zeros(len(h), np.uint64)
     for i in range(PROBES):
-        yield (one + np.uint64(i) * two) % m
+        mask |= np.uint64(1) << ((g >> np.uint64(6 * i)) & np.uint64(63))
+    return ((g >> np.uint64(32)) * words) >> np.uint64(32), mask
 
 
-def segment(h: np.ndarray, counts: np.ndarray, most: int | None = None) -> np.ndarray:
-    """The bytes of a filter segment that holds each n-gram at its levels; `most` bounds them."""
+def segment(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words of a filter segment that holds each n-gram at its levels."""
     q = levels(counts)
-    size = max(8, int(q.sum()) * BITS // 8 + 1)
-    size = size if most is None else int(min(most, size))
-    bits = np.zeros(size * 8, bool)
-    m = np.uint64(size * 8)
+    out = np.zeros(max(1, -(-int(q.sum()) * BITS // 64)), np.uint64)
     for level in range(1, int(q.max(initial=0)) + 1):
-        own = h[q >= level]
-        for at in _places(own, level, m):
-            bits[at] = True
-    return np.packbits(bits, bitorder="little")
+        at, mask = _spots(h[q >= level], level, np.uint64(len(out)))
+        np.bitwise_or.at(out, at, mask)
+    return out
 
 
 @dataclass
 class Model:
+    """bits: the words of all parts' segments; offsets: where each begins; tokens, kinds, texts: of the training texts;
+    heavy, heavy_counts: frequent words and their exact counts."""
+
     bits: np.ndarray
     offsets: np.ndarray
     tokens: int
@@ -97,37 +111,39 @@ class Model:
     def probe(self, h: np.ndarray) -> np.ndarray:
         """The level of each n-gram: probes from level 1 on until a miss."""
         part = _part(h, len(self.offsets) - 1)
-        start = self.offsets[part].astype(np.uint64) * np.uint64(8)
-        m = np.maximum(1, np.diff(self.offsets))[part].astype(np.uint64) * np.uint64(8)
+        start = self.offsets[part].astype(np.uint64)
+        words = np.diff(self.offsets)[part].astype(np.uint64)
         out = np.zeros(len(h), np.int64)
-        live, level = np.flatnonzero(np.diff(self.offsets)[part] > 0), 0
-        h, start, m = h[live], start[live], m[live]
+        live, level = np.flatnonzero(words > 0), 0
+        if len(live) < len(h):
+            h, start, words = h[live], start[live], words[live]
         while len(live) and level < 64:
             level += 1
-            g = hashing.mix(h + np.array([level], np.uint64) * _LEVEL)
-            step = (g >> np.uint64(32)) | np.uint64(1)
-            g &= np.uint64(0xFFFFFFFF)
-            kept = np.arange(len(live))
-            for i in range(PROBES):
-                at = start[kept] + (g[kept] + np.uint64(i) * step[kept]) % m[kept]
-                kept = kept[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            live, h, start, m = live[kept], h[kept], start[kept], m[kept]
+            at, mask = _spots(h, level, words)
+            kept = np.flatnonzero((self.bits[start + at] & mask) == mask)
+            live, h, start, words = live[kept], h[kept], start[kept], words[kept]
             out[live] = level
         return out
 
     def scores(self, tokens: np.ndarray, starts: np.ndarray, probe=None) -> np.ndarray:
         """log10 probability of each of the concatenated texts (none is without tokens: the end is one)."""
         probe = probe or self.probe
-        words, inverse = np.unique(tokens, return_inverse=True)
-        count = estimate(probe(words))[inverse]
-        pairs, at = np.unique(bigrams(tokens, starts), return_inverse=True)
-        both = estimate(probe(pairs))[at]
-        context = np.r_[0.0, count[:-1]]
-        context[starts] = self.texts
-        share = LAMBDA * context / (context + HALF)
-        seen = np.minimum(1.0, both / np.maximum(context, 1.0))
-        p = share * seen + (1 - share) * (count + 1) / (self.tokens + self.kinds + 1)
-        return np.add.reduceat(np.log10(p), starts)
+        two, three = bigrams(tokens, starts)
+        one, both = estimate(probe(tokens)), estimate(probe(two))
+        p = np.minimum(1.0, (one + 1) / (self.tokens + self.kinds + 1))
+        context = _after(one, starts, float(self.texts))
+        p = _mixed(p, both, context, 0)
+        context = _after(both, starts, 0.0)
+        live = np.flatnonzero((context > 0) & (both > 0))  # a trigram's bigrams are seen as often at least
+        all_three = np.zeros(len(tokens))
+        all_three[live] = estimate(probe(three[live]))
+        return np.add.reduceat(np.log10(_mixed(p, all_three, context, 1)), starts)
+
+
+def _mixed(p: np.ndarray, seen: np.ndarray, context: np.ndarray, order: int) -> np.ndarray:
+    """p mixed with the estimate seen / context, by a weight that grows with the context's count."""
+    share = WEIGHTS[order] * context / (context + HALVES[order])
+    return share * np.minimum(1.0, seen / np.maximum(context, 1.0)) + (1 - share) * p
 
 
 def _tokens(texts: list[str | None], memo: hashing.WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -156,12 +172,17 @@ def _count(parts: int):
         memo = hashing.WordHash(150_000)
         for rows in _batches(batches, 0, BATCH):
             tokens, starts = _tokens([r[0] for r in rows], memo)
-            out = []
-            for kind, h in ((_COUNTS, tokens), (_PAIRS, bigrams(tokens, starts))):
+            value, n = np.unique(tokens, return_counts=True)
+            part = _part(value, parts)
+            order = np.argsort(part, kind="stable")
+            out = [(p, _COUNTS, value[order[a:b]].tobytes(), n[order[a:b]].astype(np.uint32).tobytes(), None, None) for p, a, b in hashing.pieces(part[order])]
+            for kind, h in zip((_PAIRS, _TRIPLES), bigrams(tokens, starts), strict=True):
                 value, n = np.unique(h, return_counts=True)
-                part = _part(value, parts)
-                order = np.argsort(part, kind="stable")
-                out += [(p, kind, value[order[a:b]].tobytes(), n[order[a:b]].astype(np.uint32).tobytes(), None, None) for p, a, b in hashing.pieces(part[order])]
+                for more in (False, True):  # most are there once: six bytes, without a count
+                    own, times = value[(n > 1) == more], n[n > 1].astype(np.uint32)
+                    part = _part(own, parts)
+                    order = np.argsort(part, kind="stable")
+                    out += [(p, kind, hashing.pack48(own[order[a:b]]), times[order[a:b]].tobytes() if more else None, None, None) for p, a, b in hashing.pieces(part[order])]
             yield from _table(out).to_batches()
 
     return run
@@ -179,21 +200,26 @@ def _build():
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        both = []
-        for kind in (_COUNTS, _PAIRS):
+        t = table.filter(pc.equal(table["kind"], _COUNTS))
+        h, n = _sum(hashing.joined(t["a"]), hashing.joined(t["b"], np.uint32).astype(np.int64))
+        grams, times = [h], [n]
+        for kind, least in ((_PAIRS, 1), (_TRIPLES, LEAST)):
             t = table.filter(pc.equal(table["kind"], kind))
-            both.append(_sum(hashing.joined(t["a"]), hashing.joined(t["b"], np.uint32).astype(np.int64)))
-        (h, n), (ph, pn) = both
-        bits = segment(np.r_[h, ph], np.r_[n, pn])
+            once, more = t.filter(pc.is_null(t["b"])), t.filter(pc.is_valid(t["b"]))
+            single = hashing.unpack48(once["a"].to_pylist())
+            own, c = _sum(np.r_[single, hashing.unpack48(more["a"].to_pylist())], np.r_[np.ones(len(single), np.int64), hashing.joined(more["b"], np.uint32)])
+            grams.append(own[c >= least])
+            times.append(c[c >= least])
+        bits = segment(np.concatenate(grams), np.concatenate(times))
         return _table([(part, _COUNTS, h.tobytes(), n.tobytes(), None, None), (part, _FILTER, bits.tobytes(), None, None, None)])
 
     return run
 
 
-def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES) -> tuple[Model, DataFrame, DataFrame | None]:
+def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES, parts: int | None = None) -> tuple[Model, DataFrame, DataFrame | None]:
     """The model of all training texts, the table of exact word counts by part, and that of the filter's segments if they are over max_bytes."""
     spark = training.sparkSession
-    parts = partitions(spark)
+    parts = parts or hashing.parts(training, text, EACH)
     counted = training.select(F.coalesce(F.col(text), F.lit("")).alias("t")).mapInArrow(_count(parts), _SCHEMA)
     built = cut(counted.groupBy("part").applyInArrow(_build(), _SCHEMA), "lm")
     counts, pieces = built.where(F.col("kind") == _COUNTS), built.where(F.col("kind") == _FILTER)
@@ -220,10 +246,10 @@ def learn(training: DataFrame, text: str = "text", max_bytes: int = MAX_BYTES) -
     order = np.argsort(h)
     own = tokens, kinds, texts, h[order], heavy["n"].to_numpy(np.int64)[order]
     if (pieces.agg(F.sum(F.octet_length("a"))).first()[0] or 0) > max_bytes:
-        return Model(np.zeros(0, np.uint8), np.zeros(parts + 1, np.int64), *own), counts, pieces
+        return Model(np.zeros(0, np.uint64), np.zeros(parts + 1, np.int64), *own), counts, pieces
     found = {r.part: r.a for r in pieces.select("part", "a").toLocalIterator()}
-    sizes = [len(found.get(p, b"")) for p in range(parts)]
-    bits = np.frombuffer(b"".join(bytes(found.get(p, b"")) for p in range(parts)), np.uint8)
+    sizes = [len(found.get(p, b"")) // 8 for p in range(parts)]
+    bits = np.frombuffer(b"".join(bytes(found.get(p, b"")) for p in range(parts)), np.uint64)
     return Model(bits, np.r_[0, np.cumsum(sizes)].astype(np.int64), *own), counts, None
 
 
@@ -275,7 +301,7 @@ def _score(parts: int, shared):
 
 def _grams(tokens: np.ndarray, starts: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of concatenated texts, their order by part, and their parts in that order."""
-    grams = np.unique(np.r_[tokens, bigrams(tokens, starts)])
+    grams = np.unique(np.concatenate([tokens, *bigrams(tokens, starts)]))
     part = _part(grams, parts)
     order = np.argsort(part, kind="stable")
     return grams, order, part[order]
@@ -303,7 +329,7 @@ def _ask(parts: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """The filter's segment of one part and the n-grams asked of it -> their levels, in the order asked."""
-    bits = hashing.joined(table.filter(pc.equal(table["kind"], _FILTER))["a"], np.uint8)
+    bits = hashing.joined(table.filter(pc.equal(table["kind"], _FILTER))["a"])
     none = np.zeros(0, np.uint64)
     model = Model(bits, np.array([0, len(bits)], np.int64), 0, 0, 0, none, none.view(np.int64))
     asked = table.filter(pc.equal(table["kind"], _ASKED)).select(["part", "a", "d"])
@@ -395,8 +421,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
     max_bytes decides whether the filter is broadcast; no result depends on it.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
-    model, counts, segments = learn(docs.where(~held_out(F.col(key))), text, max_bytes)
+    parts = hashing.parts(docs, text, EACH)
+    model, counts, segments = learn(docs.where(~held_out(F.col(key))), text, max_bytes, parts)
     shared = spark.sparkContext.broadcast(model)  # at most max_bytes and HEAVY words; without the filter if it is larger
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("id"), held_out(F.col(key)).alias("held"), F.col(text).alias("t"))
     if segments is None:

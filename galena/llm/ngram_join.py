@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from galena.llm import hashing
 from galena.operators.graph import connected_components
-from galena.session import cut, partitions
+from galena.session import cut
 
 #: Shingles per batch of documents; local document count from which a shingle is flagged; shingles per trie.
 BATCH, FLAG, BLOCK = 1_000_000, 64, 1_500_000
@@ -308,15 +308,9 @@ def _join_block(numerator: int, denominator: int):
     return run
 
 
-def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row: component_id is the smallest doc_id reachable by links.
-
-    k words a shingle; links where denominator * |A n B| >= numerator * |A u B|. Null, empty and blank texts have no
-    shingle and no link. Rows that repeat a doc_id with another text are documents of their own; null ids never name a
-    component unless all its ids are null. Other columns are not read. Shingles are compared by hashes.
-    """
-    spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+def _labelled(docs: DataFrame, k: int, numerator: int, denominator: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id, n, sig) of each row, and (sig, n, label, component_id) of the sets that may have links. Both are written or read from written tables."""
+    parts = 2 * hashing.parts(docs, text)
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.mapInArrow(_deal(parts, k), _SCHEMA)
     shared = dealt.groupBy("part").applyInArrow(_shared(parts), _SCHEMA)
@@ -355,8 +349,19 @@ def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: in
     found = connected_components(cut(links, "links"))
     labelled = classes.join(found, classes["rid"] == found["id"], "left").select("sig", classes["n"], "least", F.coalesce("label", "rid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = labelled.join(named, "label").select("sig", "n", "component_id")
-    return base.select("doc_id", "n", "sig").join(by_set, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.select("key", "doc_id", "n", "sig"), labelled.join(named, "label").select("sig", "n", "label", "component_id")
+
+
+def components(docs: DataFrame, k: int = 4, numerator: int = 85, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row: component_id is the smallest doc_id reachable by links.
+
+    k words a shingle; links where denominator * |A n B| >= numerator * |A u B|. Null, empty and blank texts have no
+    shingle and no link. Rows that repeat a doc_id with another text are documents of their own; null ids never name a
+    component unless all its ids are null. Other columns are not read. Shingles are compared by hashes, and rows by a
+    64-bit hash of id and text.
+    """
+    base, by_set = _labelled(docs, k, numerator, denominator, key, text)
+    return base.join(by_set, ["sig", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _ranked(reps: DataFrame, parts: int) -> DataFrame:
@@ -416,13 +421,19 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents whose class has a smaller id: one of each group stays, with all its columns.
+    """docs with one row of each class of linked documents, that with the smallest id (null ids last, ties by hash), with all its columns.
 
-    Documents without words stay. Of rows with equal ids and equal texts one stays.
+    Documents without words link with nothing and stay. Of rows with equal ids and equal texts one stays. An empty table
+    gives an empty result.
     """
-    found = components(docs, k, numerator, denominator, key, text)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_c"))
-    stay = cut(stay, "stay")
-    kept = docs.join(stay, F.col(key).eqNullSafe(F.col("_id")), "left_semi")
-    repeated = stay.where(F.col("_id").isNotNull() & (F.col("_c") > 1)).limit(1).count()
-    return kept.dropDuplicates([key, text]) if repeated else kept
+    base, by_set = _labelled(docs, k, numerator, denominator, key, text)
+    own = cut(base.join(by_set.select("sig", "n", "label"), ["sig", "n"], "left").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("label").alias("label"), F.count("*").alias("rows")), "own")
+    first = own.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).getField("key").alias("stays"), F.count("*").alias("c")).where("c > 1")
+    gone = cut(own.join(first, "label").where("key <> stays").select("key"), "gone")
+    name = hashing.free(docs, "row_hash")
+    hashed = docs.withColumn(name, F.xxhash64(key, text))
+    kept = hashed.join(gone.withColumnRenamed("key", name), name, "left_anti")
+    again = cut(own.where("rows > 1").select(F.col("key").alias(name)), "again")
+    if again.limit(1).count():
+        kept = kept.join(again, name, "left_anti").union(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.drop(name)

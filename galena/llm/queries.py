@@ -64,13 +64,15 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = cut(warc.archives(warc.plan_revisits(_table(spark, sf_dir, "pages"))), "warc")
     back = warc.read(written, payloads=False)
+    back = back.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error")).cast("boolean")).otherwise(True))  # a broken record is no page
     page = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     return back.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
-    return f.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    """near_id: the smallest doc_id of the near duplicates, found by bands of the fingerprints and verified."""
+    f = fingerprint.with_near(_table(spark, sf_dir, "documents"))
+    return f.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op8_lm_score, op9_warc, op10_fingerprint)}

@@ -13,6 +13,9 @@ in the same document). All such strings are found, of any two documents, in four
    factor reaches `length`.
 4. The strings found are joined with their documents.
 
+Contents of segments are compared by 128 bits (minimizer and hash, or two hashes of the string), not byte by byte; where
+a minimizer has several contents, bytes are compared.
+
 Minimizers that many documents of a sample hold next to unlike contents are dealt by the hash of the whole string, so
 that no common line or passage gathers its surroundings of all documents in one task. The sample only steers the deal.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm import hashing
-from galena.session import cut, partitions
+from galena.session import cut
 
 LENGTH, GRAM = 100, 32
 #: Bytes per batch; sampled documents; sampled documents with unlike contents from which a minimizer counts as common; bytes per suffix array.
@@ -101,7 +104,10 @@ def segments(raw: np.ndarray, length: int, common: np.ndarray) -> tuple[np.ndarr
         if hot.any():
             alone = np.concatenate([np.arange(f, e + 1) for f, e in zip(first[hot].tolist(), last[hot].tolist(), strict=True)])
             content = hashing.mix(whole[alone] ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            value, sig = np.r_[value[~hot], content], np.r_[sig[~hot], content]
+            again = np.zeros(len(alone), np.uint64)  # a second hash, of the hashes of its pieces
+            for at in [*range(0, length - GRAM, GRAM), length - GRAM]:
+                again = hashing.mix(again * np.uint64(5) + short[alone + at])
+            value, sig = np.r_[value[~hot], content], np.r_[sig[~hot], again]
             first, last, own = np.r_[first[~hot], alone], np.r_[last[~hot], alone], np.r_[own[~hot], np.zeros(len(alone), bool)]
     return value, sig, first, last, own
 
@@ -385,7 +391,7 @@ def spans(gone: bytes | None, length: int) -> np.ndarray:
 def repeated(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, gone): per document hash the runs of window starts that go, as pairs of 32-bit numbers. Documents without any are absent."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = hashing.parts(docs, text)
     keyed = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     common = spark.sparkContext.broadcast(_common(keyed, length))  # of a bounded sample
     dealt = keyed.mapInArrow(_deal(parts, length, common), _SCHEMA)
@@ -409,10 +415,11 @@ def remaining(raw: bytes, gone: bytes | None, length: int) -> tuple[bytes, int,
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), int((s[:, 1] - s[:, 0]).sum()), len(s)
 
 
-def _with_runs(docs: DataFrame, length: int, key: str, text: str) -> DataFrame:
-    """docs with _gone: the runs of window starts that go, null for none."""
-    runs = repeated(docs, length, key, text).withColumnsRenamed({"key": "_key", "gone": "_gone"})
-    return docs.join(runs, F.xxhash64(key, text) == F.col("_key"), "left").drop("_key")
+def _with_runs(docs: DataFrame, length: int, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with the runs of window starts that go, null for none, and the name of that column."""
+    place, gone = hashing.free(docs, "place"), hashing.free(docs, "gone")
+    runs = repeated(docs, length, key, text).withColumnsRenamed({"key": place, "gone": gone})
+    return docs.join(runs, F.xxhash64(key, text) == F.col(place), "left").drop(place), gone
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -432,9 +439,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str
             yield pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
 
     run = apply.asNondeterministic()  # evaluated once for all its fields
-    joined = _with_runs(docs, length, key, text).withColumn("_r", run(F.col(text), F.col("_gone")))
+    joined, gone = _with_runs(docs, length, key, text)
+    own = hashing.free(joined, "own")
     size = F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0).cast("long"))
-    return joined.withColumn("n_bytes", size).withColumns({c: F.col(f"_r.{c}") for c in ("n_removed", "n_spans", "kept")}).drop("_r", "_gone")
+    joined = joined.withColumns({own: run(F.col(text), F.col(gone)), "n_bytes": size})
+    out = joined.withColumns({c: F.col(own).getField(c) for c in ("n_removed", "n_spans", "kept")})
+    return out.drop(own, gone)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -458,5 +468,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(stays)], ["text", "stays"])
 
     run = apply.asNondeterministic()
-    joined = _with_runs(docs, length, key, text).withColumn("_r", run(F.col(text), F.col("_gone")))
-    return joined.where("_r.stays").withColumn(text, F.col("_r.text")).drop("_r", "_gone")
+    joined, gone = _with_runs(docs, length, key, text)
+    own = hashing.free(joined, "own")
+    joined = joined.withColumn(own, run(F.col(text), F.col(gone)))
+    return joined.where(F.col(own).getField("stays")).withColumn(text, F.col(own).getField("text")).drop(own, gone)

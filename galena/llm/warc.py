@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +80,15 @@ def unpack(archive: bytes) -> Iterator[bytes]:
         if 8 + size > len(archive):
             raise ValueError("dictionary frame is cut short")
         raw, at = archive[8 : 8 + size], 8 + size
-        if raw[:4] == FRAME_MAGIC:  # the dictionary may itself be compressed
-            raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
-        own = zstandard.ZstdCompressionDict(raw)
+        try:
+            if raw[:4] == FRAME_MAGIC:  # the dictionary may itself be compressed
+                raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+            if raw[:4] != DICT_MAGIC:
+                raise ValueError("the leading frame holds no dictionary")
+            own = zstandard.ZstdCompressionDict(raw)
+            own.precompute_compress(level=1)  # fails for a broken one
+        except zstandard.ZstdError as e:
+            raise ValueError(f"dictionary: {e}") from e
     open_frames = zstandard.ZstdDecompressor(dict_data=own)
     view = memoryview(archive)
     while at < len(archive):
@@ -201,15 +209,17 @@ def read(contents: DataFrame, content: str = "content", payloads: bool = True) -
 
 
 def save_files(contents: DataFrame, folder: str) -> None:
-    """Write each archive as a file of its own into a folder that every executor mounts; names come from the contents, so a repeated task writes the same file."""
-    import os
+    """Write each archive as a file of its own, by the executors, into a folder that all of them reach: a mounted path or a
+    store of pyarrow's file systems. Names come from the contents, so a repeated task writes the same file."""
+    where = folder if "://" in folder else "file://" + os.path.abspath(folder)
 
     def run(rows):
+        store, path = fs.FileSystem.from_uri(where)
+        store.create_dir(path, recursive=True)
         for r in rows:
-            part = os.path.join(folder, f".{uuid.uuid4().hex}")
-            with open(part, "wb") as f:
+            part = f"{path}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(r.content)
-            os.replace(part, os.path.join(folder, r.archive))
+            store.move(part, f"{path}/{r.archive}")
 
-    os.makedirs(folder, exist_ok=True)
     contents.foreachPartition(run)

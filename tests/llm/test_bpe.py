@@ -64,7 +64,7 @@ def test_query(spark, small, library):
 
 
 def test_awkward_rows_and_clashing_names(spark, library):
-    d = docs(spark, AWKWARD).withColumns({"ids": F.lit("mine"), "other": F.lit(1)})
+    d = docs(spark, AWKWARD).withColumns({"ids": F.lit("mine"), "other": F.lit(1), "_both": F.lit(2), "both": F.lit(3)})
     out = bpe.encode_documents(d, PATH)
     assert set(out.columns) == {*d.columns, "decoded"}
     rows = out.collect()

@@ -69,8 +69,9 @@ def test_nothing_is_learned_from_held_out_rows(spark):
 
 
 def test_awkward_rows(spark):
-    d = docs(spark, AWKWARD).withColumn("score", F.lit("mine"))
+    d = docs(spark, AWKWARD).withColumns({"score": F.lit("mine"), "_g": F.lit(1), "guess": F.lit(2)})
     rows = lang_id.identify(d).collect()
+    assert {(r._g, r.guess) for r in rows} == {(1, 2)}
     assert len(rows) == len(AWKWARD)
     for r in rows:
         lettered = any(c.isalpha() for c in r.text or "")
@@ -84,6 +85,8 @@ def test_sample_bound(spark):
     rows = [(i, f"aa{i}", "x") for i in range(50)]
     model = lang_id.train(docs(spark, rows), rows=3)
     assert model.languages == ["x"]
+    # rows that repeat an id, or all of it, don't widen the sample: equal rows count once
+    assert lang_id.train(docs(spark, [(1, "aaaa", "x")] * 40 + [(1, "aaab", "x")]), rows=2).cost.shape == lang_id.train(docs(spark, [(1, "aaaa", "x"), (1, "aaab", "x")]), rows=2).cost.shape
 
 
 def test_every_label_is_learned(spark):

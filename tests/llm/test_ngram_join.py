@@ -111,6 +111,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id, r.extra) for r in kept.collect()) == [(1, 5), (2, 5), (7, 5), (9, 5)]
 
 
+def test_rows_without_ids_and_of_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(50))
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(None, base), (None, base + " x"), (3, base + " y"), (5, other), (5, base + " z"), (None, other + " q"), (8, "alone of all"), (8, "alone of all"), (None, "alone too it is"), (None, "alone too it is")]
+    d = docs(spark, rows).withColumns({"_id": F.lit(1), "row_hash": F.lit(2), "key": F.lit(3), "label": F.lit(4)})
+    kept = ngram_join.keep_one(d)
+    assert kept.columns == d.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", base + " y"), ("5", other), ("8", "alone of all"), ("None", "alone too it is")])
+
+
 def test_tree_finds_what_all_pairs_find():
     rng = random.Random(1)
     for _ in range(30):

@@ -70,7 +70,9 @@ def test_runs_within_one_text(spark):
 
 
 def test_awkward_rows(spark):
-    d = docs(spark, AWKWARD).withColumns({"kept": F.lit("mine"), "gone": F.lit(1), "_other": F.lit(2)})
+    d = docs(spark, AWKWARD).withColumns({"kept": F.lit("mine"), "gone": F.lit(1), "_other": F.lit(2), "_key": F.lit(3), "_gone": F.lit(4), "_r": F.lit(5), "place": F.lit(6), "Own": F.lit(7)})
+    assert set(D.dedup(d).columns) == {*d.columns, "n_bytes", "n_removed", "n_spans"}
+    assert {(r._key, r._gone, r._r, r.place, r.Own) for r in D.without_repeats(d).collect()} == {(3, 4, 5, 6, 7)}
     got = D.dedup(d).collect()
     assert len(got) == len(AWKWARD)
     by = {}

@@ -44,6 +44,17 @@ def test_broken_archives_and_records():
     assert warc.parse(good.replace(b"WARC-Date", b"WARC-Data"))["error"] == "no warc-date"
 
 
+def test_broken_dictionaries_become_rows(spark):
+    import struct
+
+    frame = lambda raw: struct.pack("<II", warc.DICT_FRAME, len(raw)) + raw
+    good = warc.pack([warc.record("urn:page:1", "http://x/", b"hello")])
+    broken = [frame(warc.FRAME_MAGIC + b"no frame at all"), frame(b"nothing"), frame(warc.DICT_MAGIC + b"cut"), struct.pack("<II", warc.DICT_FRAME, 99)]
+    d = spark.createDataFrame([(bytearray(x + good),) for x in broken] + [(bytearray(good),), (bytearray(b""),), (None,)], "content binary")
+    rows = warc.read(d).collect()
+    assert sum(r.error is not None for r in rows) == len(broken) and sum(r.record_type == "response" for r in rows) == 1
+
+
 def test_awkward_pages(spark):
     rows = [(3, "http://a/\r\nX: y", "same é"), (1, None, "same é"), (2, "u", None), (4, "u", ""), (None, "u", "same é"), (5, "u", "\r\n\r\nWARC/1.1\r\n" * 9), (6, "u", "z" * 200_000)]
     d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"sha1": F.lit(1), "payload": F.lit("x"), "id": F.lit(9)})
