@@ -47,6 +47,46 @@ def test_blocks_ties_and_clusters(spark, monkeypatch):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def recall(want, got):
+    return sum(len({i for i, _ in want[q]} & {i for i, _ in got[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_lists_and_their_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    is_query = lambda i: i % 20 == 0
+    want = brute(rows, is_query)
+    lists, n = ann.lists_of(ann.valid(df, "vec_id", "embedding"), 5, rows=50)
+    assert n == len(rows) and len(lists.centroids[64]) >= 20
+    assert recall(want, as_dict(ann.search(df, is_query, rows=50))) >= 0.95
+    every = as_dict(ann.search(df, is_query, recall=1, rows=50))
+    assert recall(want, every) >= 0.98
+
+
+def test_clusters_are_read_in_part(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 48))
+    rows = [(i, [float(x) for x in centres[i % 40] + 0.3 * rng.normal(size=48)]) for i in range(4000)] + [(5000 + i, [float(i)]) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    lists, _ = ann.lists_of(ann.valid(df, "vec_id", "embedding"), 5, rows=100)
+    assert lists.reads[48] < len(lists.centroids[48]) / 4
+    is_query = lambda i: i % 50 == 0
+    got = as_dict(ann.search(df, is_query, rows=100))
+    assert recall(brute(rows, is_query), got) >= 0.95
+
+
+def test_equal_vectors_and_ids_of_several_vectors(spark):
+    rng = np.random.default_rng(6)
+    hot = [float(x) for x in rng.normal(size=8)]
+    rows = [(i, hot) for i in range(0, 300)] + [(300 + i, [float(x) for x in rng.normal(size=8)]) for i in range(100)] + [(50, [2 * x + 0.001 for x in hot]), (350, hot), (350, hot), (350, [-x for x in hot])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    is_query = lambda i: i % 50 == 0
+    got, want = as_dict(ann.search(df, is_query)), brute(rows, is_query)
+    for q in (0, 100, 150, 200, 250, 300):
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+    assert [i for i, _ in got[350]] == [0, 1, 2, 3, 4] and [i for i, _ in got[50]][:4] == [0, 1, 2, 3] and len(got[50]) == 5
+
+
 def test_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (50, [0.0, 0.0, 0.0]), (1, None), (2, []), (3, [1.0, None, 0.0]), (4, [float("nan"), 1.0, 0.0]), (5, [float("inf"), 1.0, 0.0]), (6, [2.0, 0.0, 0.0]), (7, [-1.0, 0.0, 0.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0, 0.0]), (6, [2.0, 0.0, 0.0]), (100, [1.0, 1.0, 0.0]), (9, [3e38, 1e38, 0.0]), (10, [1e-38, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"code": F.lit(1), "score": F.lit(2)})
