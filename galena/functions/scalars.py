@@ -120,6 +120,23 @@ def geohash(lat: Column, lon: Column, precision: int = 9) -> Column:
     return F.concat(*out)
 
 
+def geohash_box(code: Column, precision: int = 9) -> Column:
+    """struct<south, north, west, east> of a geohash cell of so many digits."""
+    bits = 5 * precision
+    nlon, nlat = (bits + 1) // 2, bits // 2
+    x, y = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for d in range(precision):
+        digit = F.instr(F.lit(GEOHASH_DIGITS), F.substring(code, d + 1, 1)) - 1
+        for b in range(5):
+            bit = F.shiftright(digit, 4 - b).bitwiseAND(F.lit(1))
+            if (5 * d + b) % 2 == 0:
+                x = x * 2 + bit
+            else:
+                y = y * 2 + bit
+    at = lambda v, low, span, n: F.lit(low) + v * F.lit(span / 2**n)
+    return F.struct(at(y, -90.0, 180.0, nlat).alias("south"), at(y + 1, -90.0, 180.0, nlat).alias("north"), at(x, -180.0, 360.0, nlon).alias("west"), at(x + 1, -180.0, 360.0, nlon).alias("east"))
+
+
 def cell_km(precision: int) -> tuple[float, float]:
     """Height of a geohash cell, and its width at the equator, in km."""
     bits = 5 * precision

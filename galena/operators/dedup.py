@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,15 +116,84 @@ def running_offsets(chunks: DataFrame) -> DataFrame:
 
 def reassemble(chunks: DataFrame, data: str = "data", joint: str = "") -> DataFrame:
     """(file_id, content): a file's chunks in order of seq; a file is one value, as it was read."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", data)))
-    kind = dict(chunks.dtypes)[data]
-    if kind == "string":
+    if dict(chunks.dtypes)[data] == "string":
+        ordered = F.array_sort(F.collect_list(F.struct("seq", data)))
         content = F.array_join(F.transform(ordered, lambda s: s[data]), joint)
     else:
-        content = F.aggregate(ordered, F.lit(b""), lambda a, s: F.concat(a, s[data]))
+        content = F.expr(f"listagg(`{data}`) WITHIN GROUP (ORDER BY seq)")
     return chunks.groupBy("file_id").agg(content.alias("content"))
 
 
+def range_read(parts: DataFrame, asked: DataFrame, key: str, data: str = "data") -> DataFrame:
+    """(key, from, content): the bytes of [from, to) of each asked range, cut out of the parts (key, start, size, data) that
+    meet it and joined; null if one of those has no bytes. Ranges that meet no part are absent."""
+    cut_ = overlap(parts, asked, key).withColumn("piece", F.expr(f"substring(`{data}`, CAST(skip + 1 AS INT), CAST(take AS INT))"))
+    whole = F.expr("listagg(piece) WITHIN GROUP (ORDER BY start)")
+    return cut_.groupBy(key, "from").agg(F.when(F.bool_and(F.col("piece").isNotNull()), whole).alias("content"))
+
+
+def sealed(placed: DataFrame, most: int, order: list[str], level: int = 12) -> DataFrame:
+    """(batch_id, idx, raw_start, raw_len, frame): chunks (batch_id, size, data and `order`) of each batch packed in order into
+    zstd frames, a frame ending with the chunk that fills it. A batch, bounded by its sealing size, is folded as a stream."""
+    kinds = pa.schema([("batch_id", pa.int64()), ("idx", pa.int32()), ("raw_start", pa.int64()), ("raw_len", pa.int64()), ("frame", pa.binary())])
+
+    def run(rows_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=level)
+        now, held, size, start, idx = None, [], 0, 0, 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"batch_id": now, "idx": idx, "raw_start": start, "raw_len": size, "frame": press.compress(b"".join(held))}], kinds)
+
+        for batch in rows_in:
+            for b, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != now:
+                    if held:
+                        yield out()
+                    now, held, size, start, idx = b, [], 0, 0, 0
+                held.append(data)
+                size += len(data)
+                if size >= most:
+                    yield out()
+                    held, start, size, idx = [], start + size, 0, idx + 1
+        if held:
+            yield out()
+
+    dealt = placed.repartition("batch_id").sortWithinPartitions("batch_id", *order)
+    return dealt.select("batch_id", F.col("data").cast("binary").alias("data")).mapInArrow(run, "batch_id long, idx int, raw_start long, raw_len long, frame binary")
+
+
+def read_chunks(placed: DataFrame, frames_: DataFrame) -> DataFrame:
+    """(hash, data, ok) of chunks (hash, batch_id, raw_offset, size): each is cut out of the frame with the greatest start at or
+    before its offset and verified against its hash (SHA-256, hex). A frame is decompressed once for all its chunks; a chunk
+    whose frame is missing or too short has no data and isn't ok."""
+    own = floor_join(placed.select("hash", "batch_id", "raw_offset", "size"), frames_, ["batch_id"], "raw_offset", "raw_start", "idx")
+    places = frames_.select("batch_id", "idx", "raw_start", "frame")
+
+    def read(a: pa.Table, b: pa.Table) -> pa.Table:
+        import zstandard
+
+        raw, start = b"", 0
+        if len(b):
+            start = b["raw_start"][0].as_py()
+            raw = zstandard.ZstdDecompressor().decompress(b["frame"][0].as_py())
+        found = []
+        for h, at, size in zip(a["hash"].to_pylist(), a["raw_offset"].to_pylist(), a["size"].to_pylist(), strict=True):
+            piece = raw[at - start : at - start + size]
+            good = bool(len(b)) and len(piece) == size and hashlib.sha256(piece).hexdigest() == h
+            found.append((h, piece if good else None, good))
+        cols = list(zip(*found, strict=True)) if found else [[], [], []]
+        return pa.table({"hash": pa.array(cols[0], pa.string()), "data": pa.array(cols[1], pa.binary()), "ok": pa.array(cols[2], pa.bool_())})
+
+    return own.groupBy("batch_id", "idx").cogroup(places.groupBy("batch_id", "idx")).applyInArrow(read, "hash string, data binary, ok boolean")
+
+
+def batch_of_chunks(chunks: DataFrame, placed: DataFrame) -> DataFrame:
+    """(file_id, seq, hash, size, batch_id, raw_offset): where each chunk of each file lies; null for chunks in no batch."""
+    return chunks.select("file_id", "seq", "hash", "size").join(placed.select("hash", "batch_id", "raw_offset"), "hash", "left")
+
+
 def bloom(items: DataFrame, column: str, n: int, p: float = 0.01) -> bytes:
     """A filter's bits from binary digests (16 bytes at least): tasks return distinct places, each once."""
     m, k = K.bloom_size(n, p)

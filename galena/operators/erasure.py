@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galena.functions import kernels as K
+from galena.functions import scalars as S
 
 HEADER = 256
 _MAGIC = b"GLNASHRD"
@@ -60,8 +61,7 @@ def decode(shards: DataFrame, stripes: DataFrame) -> DataFrame:
 
 def object_bytes(decoded: DataFrame) -> DataFrame:
     """(object_id, content): null if a stripe is lost."""
-    parts = F.array_sort(F.collect_list(F.struct("data_offset", "data")))
-    whole = F.aggregate(parts, F.lit(b""), lambda a, s: F.concat(a, s["data"]))
+    whole = F.expr("listagg(data) WITHIN GROUP (ORDER BY data_offset)")
     return decoded.groupBy("object_id").agg(F.when(F.bool_and(F.col("data").isNotNull()), whole).alias("content"))
 
 
@@ -74,6 +74,36 @@ def repair(shards: DataFrame, stripes: DataFrame, states: DataFrame) -> DataFram
     return encode(broken).join(bad, ["object_id", "seq", "idx"], "left_semi")
 
 
+def rebuild(shards: DataFrame, stripes: DataFrame, moves: DataFrame, disks: DataFrame) -> DataFrame:
+    """(object_id, seq, idx, disk_id, payload, checksum): the shards of `moves` (object_id, seq, idx, disk_id) computed from
+    the stripes' other shards, with their new disks. Shards that no disk can take, and those of stripes with too few others, are absent."""
+    able = moves.where("disk_id IS NOT NULL").join(disks.where(F.col("status").isin("online", "rebuilding")).select(F.col("id").alias("disk_id")), "disk_id", "left_semi")
+    place = ["object_id", "seq", "idx"]
+    left = shards.join(moves.select(*place), place, "left_anti")
+    own = able.select("object_id", "seq").distinct()
+    data = decode(left.join(own, ["object_id", "seq"], "left_semi"), stripes.join(own, ["object_id", "seq"], "left_semi")).where("data IS NOT NULL")
+    content = data.select("object_id", "seq", F.col("data").alias("content")).join(stripes.select("object_id", "seq", "k", "m", "shard_size"), ["object_id", "seq"])
+    return encode(content).join(able.select(*place, "disk_id"), place).select(*place, "disk_id", "payload", "checksum")
+
+
+def restripe(shards: DataFrame, stripes: DataFrame, k: int, m: int) -> tuple[DataFrame, DataFrame]:
+    """(stripes, shards) of the objects whose profile isn't (k, m), read and coded again stripe by stripe with it; offsets and
+    lengths stay. Stripes that can't be read are absent."""
+    old = stripes.where((F.col("k") != k) | (F.col("m") != m))
+    data = decode(shards.join(old.select("object_id", "seq"), ["object_id", "seq"], "left_semi"), old).where("data IS NOT NULL")
+    new = data.select("object_id", "seq", F.lit(k).alias("k"), F.lit(m).alias("m"), S.shard_size(F.octet_length("data").cast("long"), k).alias("shard_size"), "data_offset", F.octet_length("data").cast("long").alias("data_len"), F.col("data").alias("content"))
+    return new.drop("content"), encode(new)
+
+
+def scrub_pass(stripes: DataFrame, states: DataFrame, most: int, before: float) -> DataFrame:
+    """(object_id, seq, bad, outcome) of the stripes that a pass takes: those with known bad shards first, then those never or
+    longest not scrubbed, if that is before `before`; `most` at most. outcome: ok, repaired or lost."""
+    bad = states.groupBy("object_id", "seq").agg(F.count_if(F.col("state") != "ok").alias("bad"), F.count_if(F.col("state") == "ok").alias("good"))
+    s = stripes.select("object_id", "seq", "k", F.coalesce("last_scrubbed_at", F.lit(0.0)).alias("at")).join(bad, ["object_id", "seq"])
+    due = s.where((F.col("bad") > 0) | (F.col("at") < before)).orderBy((F.col("bad") > 0).desc(), "at", "object_id", "seq").limit(most)
+    return due.select("object_id", "seq", "bad", F.when(F.col("bad") == 0, "ok").when(F.col("good") >= F.col("k"), "repaired").otherwise("lost").alias("outcome"))
+
+
 # -- shard files -------------------------------------------------------------
 def pack_header(stripe: str, idx: int, k: int, m: int, size: int, offset: int, length: int, checksum: bytes) -> bytes:
     body = _FIELDS.pack(_MAGIC, 1, stripe.encode()[:32].ljust(32, b"\0"), idx, k, m, size, offset, length, checksum).ljust(HEADER - 4, b"\0")
@@ -88,6 +118,17 @@ def unpack_header(raw: bytes) -> dict | None:
     return {"stripe_id": stripe.rstrip(b"\0").decode(), "idx": idx, "k": k, "m": m, "shard_size": size, "data_offset": offset, "data_len": length, "checksum": checksum}
 
 
+def shard_files(stripe: Column, idx: Column, k: Column, m: Column, size: Column, offset: Column, length: Column, checksum: Column, payload: Column) -> Column:
+    """The bytes of each shard's file: header and payload."""
+
+    @F.arrow_udf("binary")
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([pack_header(*r[:-1]) + r[-1] for r in rows], pa.binary())
+
+    return run(stripe, idx, k, m, size, offset, length, checksum, payload)
+
+
 def headers(content: Column) -> Column:
     """Header struct of shard-file bytes; null for a bad one."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+import re
 import struct
 from collections.abc import Iterator
 
@@ -11,37 +13,79 @@ from pyspark.sql import functions as F
 
 from galena.functions import scalars as S
 
-#: Name suffixes of raw images, and brands of the ISO base media container.
-RAW_SUFFIXES = (".dng", ".cr2", ".cr3", ".nef", ".arw", ".raf", ".orf", ".rw2")
-HEIF_BRANDS = ("heic", "heix", "hevc", "heim", "heis", "mif1", "msf1", "avif")
-VIDEO_SUFFIXES = (".mov", ".qt")
+#: Name suffixes of raw images, brands of the ISO base media container, first boxes of bare movies.
+RAW_SUFFIXES = (".dng", ".cr2", ".cr3", ".nef", ".nrw", ".arw", ".srf", ".sr2", ".raf", ".orf", ".rw2", ".pef", ".srw", ".x3f", ".3fr", ".iiq", ".erf", ".kdc", ".mrw")
+HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "hevm", "hevs")
+AVIF_BRANDS = ("avif", "avis")
+STILL_BRANDS = ("mif1", "msf1")
+MP4_BRANDS = ("isom", "iso2", "iso4", "iso5", "iso6", "mp41", "mp42", "avc1", "M4V ", "M4VP", "dash", "MSNV", "XAVC", "mmp4")
+GPP_BRANDS = ("3gp4", "3gp5", "3gp6", "3g2a", "3g2b")
+MOVIE_SUFFIXES = (".mov", ".qt")
+MOVIE_BOXES = ("moov", "mdat", "wide", "free", "skip")
+
+
+def guessed_mime(name: Column) -> Column:
+    """The type that a name's suffix stands for, null if none: the standard library's table, the inner name of compressed ones."""
+    known = mimetypes.MimeTypes()
+    table = F.create_map(*[F.lit(x) for pair in sorted(known.types_map[1].items()) for x in pair])
+    packed = "|".join(sorted(re.escape(x) for x in known.encodings_map))
+    return F.try_element_at(table, S.suffix(F.regexp_replace(name, f"(?i)({packed})$", "")))
 
 
 def classify(name: Column, head: Column) -> Column:
-    """struct<mime, kind, tier> from a name and leading bytes: a raw suffix first, then signatures, then container brands, then .mov/.qt."""
-    at = lambda start, size: F.substring(head, start + 1, size)
-    text = lambda start, size: F.decode(at(start, size), "ISO-8859-1")
-    is_ = lambda start, raw: at(start, len(raw)) == F.lit(raw)
-    out = lambda mime, kind, tier="media": F.struct(F.lit(mime).alias("mime"), F.lit(kind).alias("kind"), F.lit(tier).alias("tier"))
-    own = S.suffix(name)
-    box = F.least(F.conv(F.hex(at(0, 4)), 16, 10).cast("int"), F.lit(64))
-    brands = F.transform(F.sequence(F.lit(8), F.greatest(F.lit(8), box - 4), F.lit(4)), lambda i: F.decode(F.substring(head, i + 1, F.lit(4)), "ISO-8859-1"))
+    """struct<mime, kind, tier> from a name and leading bytes (64 at least, or all).
+
+    Compressed pictures and films are media. Raw images, by suffix or by the brand crx, and all else aren't, whatever their
+    bytes; those have the type that their name stands for.
+    """
+    latin = lambda start, size: F.decode(F.substring(head, start + 1, size), "ISO-8859-1")
+    is_ = lambda start, raw: F.substring(head, start + 1, len(raw)) == F.lit(raw)
+    out = lambda mime, kind, tier="media": F.struct((F.lit(mime) if isinstance(mime, str) else mime).alias("mime"), F.lit(kind).alias("kind"), F.lit(tier).alias("tier"))
+    own, mime = S.suffix(name), guessed_mime(name)
+    ends = F.least(F.conv(F.hex(F.substring(head, 1, 4)), 16, 10).cast("long"), F.octet_length(head).cast("long")) - 4
+    further = F.when(ends >= 16, F.transform(F.sequence(F.lit(16).cast("long"), F.greatest(ends, F.lit(16)), F.lit(4).cast("long")), lambda i: F.decode(F.substring(head, (i + 1).cast("int"), F.lit(4)), "ISO-8859-1"))).otherwise(F.array().cast("array<string>"))
+    major = latin(8, 4)
+    has = lambda brands: F.arrays_overlap(F.array_append(further, major), F.array(*map(F.lit, brands)))
     ftyp = is_(4, b"ftyp")
-    heif = ftyp & F.arrays_overlap(brands, F.array(*map(F.lit, HEIF_BRANDS)))
     return (
-        F.when(own.isin(*RAW_SUFFIXES) | (ftyp & (text(8, 4) == "crx ")), out("image/x-raw", "image"))
+        F.when(own.isin(*RAW_SUFFIXES), out(F.coalesce(mime, F.lit("image/x-raw")), "image", "nonmedia"))
         .when(is_(0, b"\xff\xd8\xff"), out("image/jpeg", "image"))
         .when(is_(0, b"\x89PNG\r\n\x1a\n"), out("image/png", "image"))
         .when(is_(0, b"GIF87a") | is_(0, b"GIF89a"), out("image/gif", "image"))
         .when(is_(0, b"RIFF") & is_(8, b"WEBP"), out("image/webp", "image"))
-        .when(heif, out("image/heic", "image"))
-        .when(ftyp & (text(8, 4) == "qt  "), out("video/quicktime", "video"))
-        .when(ftyp, out("video/mp4", "video"))
-        .when(own.isin(*VIDEO_SUFFIXES), out("video/quicktime", "video"))
-        .otherwise(out("application/octet-stream", "other", "nonmedia"))
+        .when(ftyp & (major == "crx "), out(F.coalesce(mime, F.lit("image/x-canon-cr3")), "other", "nonmedia"))
+        .when(ftyp & major.isin(*AVIF_BRANDS, *STILL_BRANDS) & has(AVIF_BRANDS), out("image/avif", "image"))
+        .when(ftyp & (major.isin(*HEIF_BRANDS) | major.isin(*STILL_BRANDS) & has(HEIF_BRANDS)), out("image/heic", "image"))
+        .when(ftyp & major.isin(*STILL_BRANDS), out("image/heif", "image"))
+        .when(ftyp & (major == "qt  "), out("video/quicktime", "video"))
+        .when(ftyp & major.isin(*GPP_BRANDS), out("video/3gpp", "video"))
+        .when(ftyp & has(MP4_BRANDS), out("video/mp4", "video"))
+        .when(own.isin(*MOVIE_SUFFIXES) & latin(4, 4).isin(*MOVIE_BOXES), out("video/quicktime", "video"))
+        .otherwise(out(F.coalesce(mime, F.lit("application/octet-stream")), "other", "nonmedia"))
     )
 
 
+def ingest_batch(uploads: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, outcome, sha256, size, mime, kind, tier, file_id, device_id) of uploads (id, filename, content binary, sha256 as
+    declared, device_id).
+
+    'known': a file (also a tombstone) has the declared hash already, so the device is linked to it and the content isn't
+    read; 'corrupt': the content has another hash, or is missing; 'stored': a new file, classified by name and content;
+    'linked': an upload whose hash is stored by one with a smaller id of the same batch. file_id is the known file's, or the
+    id of the upload that stores. The texts of equal uploads never meet in one task: hashes and ids do.
+    """
+    u = uploads.withColumns({"sha256": F.lower("sha256"), "actual": F.sha2("content", 256)})
+    known = files.select(F.lower("sha256").alias("sha256"), F.col("id").alias("known_id")).groupBy("sha256").agg(F.min("known_id").alias("known_id"))
+    u = u.join(known, "sha256", "left")
+    good = F.col("known_id").isNull() & (F.col("actual") == F.col("sha256"))
+    first = u.where(good).groupBy("sha256").agg(F.min("id").alias("first_id"))
+    u = u.join(first, "sha256", "left")
+    outcome = F.when(F.col("known_id").isNotNull(), "known").when(F.col("actual").isNull() | (F.col("actual") != F.col("sha256")), "corrupt").when(F.col("id") == F.col("first_id"), "stored").otherwise("linked")
+    u = u.withColumn("outcome", outcome).withColumn("c", F.when(F.col("outcome") == "stored", classify(F.coalesce("filename", "sha256"), F.substring("content", 1, 512))))
+    to = F.when(F.col("outcome") != "corrupt", F.coalesce("known_id", "first_id"))
+    return u.select("id", "outcome", "sha256", F.when(F.col("outcome") == "stored", F.octet_length("content").cast("long")).alias("size"), "c.mime", "c.kind", "c.tier", to.alias("file_id"), F.when(to.isNotNull(), F.col("device_id")).alias("device_id"))
+
+
 # -- container metadata ------------------------------------------------------
 def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, int, int]]:
     """(type, body start, body end): 32- and 64-bit sizes, size 0 runs to the end; a size under its header, or past the end, stops."""
@@ -81,11 +125,18 @@ def _movie(data: bytes) -> dict:
                 out["created"] = float(made - 2_082_844_800) if made else None
                 out["duration"] = length / scale if scale else None
             elif k == b"trak":
+                side, film = None, False
                 for k2, x2, y2 in boxes(data, x, y):
                     if k2 == b"tkhd":
-                        w, h = (v >> 16 for v in struct.unpack_from(">II", data, y2 - 8))
-                        if w and h:
-                            out |= {"width": w, "height": h}
+                        side = tuple(v >> 16 for v in struct.unpack_from(">II", data, y2 - 8))
+                    elif k2 == b"mdia":
+                        film = any(k3 == b"hdlr" and data[x3 + 8 : x3 + 12] == b"vide" for k3, x3, _ in boxes(data, x2, y2))
+                if film and side and side[0] and "width" not in out:  # the first video track
+                    out |= {"width": side[0], "height": side[1]}
+            elif k == b"udta":
+                for k2, x2, y2 in boxes(data, x, y):
+                    if k2 == b"\xa9xyz":
+                        out.setdefault("ISO6709", data[x2 + 4 : y2].decode("utf-8", "ignore"))
             elif k == b"meta":
                 full = 4 if data[x : x + 4] == b"\0\0\0\0" else 0
                 for k2, x2, y2 in boxes(data, x + full, y):

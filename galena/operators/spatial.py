@@ -29,6 +29,29 @@ def covering_box(lat: float, lon: float, km: float) -> tuple[float, float, float
     return south, (west + 540) % 360 - 180, north, (east + 540) % 360 - 180
 
 
+def covering_precision(lat: float, km: float) -> int:
+    """The finest number of geohash digits whose cells at this latitude are no smaller than the radius either way; 1 at least."""
+    for digits in range(9, 1, -1):
+        high, wide = S.cell_km(digits)
+        if min(high, wide * max(0.01, math.cos(math.radians(lat)))) >= km:
+            return digits
+    return 1
+
+
+def in_covering(lat_column: Column, lon_column: Column, lat: float, lon: float, km: float) -> Column:
+    """Whether a place lies in the geohash cell of (lat, lon) or one of the eight around it, of covering_precision() digits.
+
+    By numbers of cells, so that it needs no list of prefixes; columns go on across the antimeridian, rows end at the poles.
+    Cells that hold a stored geohash prefix are the same ones.
+    """
+    bits = 5 * covering_precision(lat, km)
+    columns, rows = 2 ** ((bits + 1) // 2), 2 ** (bits // 2)
+    x, y = min(columns - 1, int((lon + 180) / 360 * columns)), min(rows - 1, int((lat + 90) / 180 * rows))
+    at = lambda c, low, span, n: F.least(F.lit(n - 1), F.floor((c - low) / span * n))
+    apart = F.abs(at(lon_column, -180.0, 360.0, columns) - x)
+    return (F.least(apart, F.lit(columns) - apart) <= 1) & (F.abs(at(lat_column, -90.0, 180.0, rows) - y) <= 1)
+
+
 def near(df: DataFrame, lat: float, lon: float, km: float, limit: int | None = None, prelimit: int | None = None, order: tuple[str, str] = ("ts", "id")) -> DataFrame:
     """Rows within km of a place, newest first: a box that pushes down, then the exact distance, then the limit.
 

@@ -42,6 +42,9 @@ class Lru:
     def __init__(self, budget: int):
         self.budget, self.used, self.items = budget, 0, OrderedDict()
 
+    def __contains__(self, key) -> bool:
+        return key in self.items
+
     def get(self, key) -> bool:
         if key in self.items:
             self.items.move_to_end(key)
@@ -70,15 +73,17 @@ def lru(df: DataFrame, keys: list[str], order: list[str], item: str, size: str,
     return fold(df, keys, order, lambda: Lru(budget), step, "hit boolean, used long")
 
 
-def lru_prefetch(df: DataFrame, keys: list[str], order: list[str], position: str, size: str, budget: int, page: int, most: int) -> DataFrame:
-    """As lru over positions 0..most-1, where a miss also loads the next half page; `loads` counts items read."""
+def lru_prefetch(df: DataFrame, keys: list[str], order: list[str], position: str, size: Callable[[int], int], budget: int, page: int, most: int) -> DataFrame:
+    """As lru over positions 0..most-1 of size(position) bytes each. A miss loads the item and then those of the half page
+    that begins with it which aren't cached; looking for them doesn't make them newer. `loads` counts items read."""
 
     def step(cache: Lru, r: dict) -> dict:
-        hit, loads = cache.get(r[position]), 0
+        at = r[position]
+        hit, loads = cache.get(at), 0
         if not hit:
-            for i in range(r[position], min(most, r[position] + 1 + page // 2)):
-                if not cache.get(i):
-                    cache.put(i, r[size])
+            for i in [at, *(j for j in range(at + 1, min(most, at + page // 2)))]:
+                if i == at or i not in cache:
+                    cache.put(i, size(i))
                     loads += 1
         return {"hit": hit, "loads": loads}
 
@@ -114,26 +119,33 @@ def token_bucket(df: DataFrame, keys: list[str], ts: str, tie: str, amount: str,
     return fold(df, keys, [ts, tie], dict, step, "delay double")
 
 
-def token_families(df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows (family, token, event): 'issue', 'use' (rotates: the token is revoked), 'revoke_all'. Using a revoked or unknown token revokes its family; outcome is issued, rotated, reuse, revoked or refused."""
+def token_families(df: DataFrame, order: list[str], ts: str | None = None, ttl: float = float("inf")) -> DataFrame:
+    """Rows (family, token, event): 'issue', 'use' (rotates: the token is revoked), 'revoke_all'; outcome is issued, rotated,
+    reuse, revoked or refused.
+
+    Using a revoked token revokes its whole family. A token that was never issued, or was issued more than ttl seconds
+    before (by the column ts), is refused and leaves the family alone. A revoked family issues no more.
+    """
 
     def step(s: dict, r: dict) -> dict:
-        alive, event = s.setdefault("alive", set()), r["event"]
+        held, event = s.setdefault("held", {}), r["event"]  # token -> [issued at, still good]
+        now = r[ts] if ts else 0.0
         if event == "issue":
             if s.get("dead"):
                 return {"outcome": "refused"}
-            alive.add(r["token"])
+            held[r["token"]] = [now, True]
             return {"outcome": "issued"}
         if event == "revoke_all":
             s["dead"] = True
-            alive.clear()
             return {"outcome": "revoked"}
-        if r["token"] in alive:
-            alive.discard(r["token"])
-            return {"outcome": "rotated"}
-        s["dead"] = True
-        alive.clear()
-        return {"outcome": "reuse"}
+        own = held.get(r["token"])
+        if own is None or now - own[0] > ttl:
+            return {"outcome": "refused"}
+        if s.get("dead") or not own[1]:
+            s["dead"] = True
+            return {"outcome": "reuse"}
+        own[1] = False
+        return {"outcome": "rotated"}
 
     return fold(df, ["family"], order, dict, step, "outcome string")
 
@@ -173,22 +185,28 @@ def upload_replay(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def disk_health(df: DataFrame, order: list[str], threshold: int = 10) -> DataFrame:
-    """Rows (disk_id, event): 'error', 'smart_fail', 'probe_bad', 'probe_ok'; status after each: online -> degraded at the threshold or a SMART failure, -> failed on a bad probe, failed -> online on a good one."""
+    """Rows (disk_id, event) with the status and the error count after each event.
+
+    'error' counts and degrades an online disk from the threshold on; the count is never reset, so the next error after a
+    recovery degrades again. 'probe_bad' fails a disk, 'probe_ok' brings a failed one back online; 'smart_fail' is a good
+    probe whose SMART check fails: it degrades an online disk. 'retire' ends a disk's transitions.
+    """
 
     def step(s: dict, r: dict) -> dict:
         now, event = s.get("status", "online"), r["event"]
-        if event == "error":
-            s["errors"] = s.get("errors", 0) + 1
-        if event == "probe_bad":
+        n = s.get("errors", 0) + (event == "error")
+        if event == "retire" or now == "retired":
+            now = "retired"
+        elif event == "error":
+            now = "degraded" if now == "online" and n >= threshold else now
+        elif event == "probe_bad":
             now = "failed"
-        elif event == "probe_ok" and now == "failed":
-            now, s["errors"] = "online", 0
-        elif now == "online" and (event == "smart_fail" or s.get("errors", 0) >= threshold):
-            now = "degraded"
-        s["status"] = now
-        return {"status": now}
+        elif event in ("probe_ok", "smart_fail"):
+            now = "online" if now == "failed" else "degraded" if now == "online" and event == "smart_fail" else now
+        s |= {"status": now, "errors": n}
+        return {"status": now, "errors": n}
 
-    return fold(df, ["disk_id"], order, dict, step, "status string")
+    return fold(df, ["disk_id"], order, dict, step, "status string, errors int")
 
 
 def job_states(df: DataFrame, order: list[str], most: int = 5) -> DataFrame:
@@ -206,18 +224,30 @@ def job_states(df: DataFrame, order: list[str], most: int = 5) -> DataFrame:
     return fold(df, ["job"], order, dict, step, "state string, attempts int")
 
 
-def justified_rows(df: DataFrame, keys: list[str], order: list[str], width: str, height: str, target: float, most: float = 220.0) -> DataFrame:
-    """df with row: pictures (aspect clamped to [0.4, 3], 1 if unknown) fill a row until it is no higher than `most`."""
+#: Fixed values of the picture grid: wanted height of a row and gap between pictures, in pixels.
+ROW_HEIGHT, GAP = 200.0, 4.0
+
+
+def justified_rows(df: DataFrame, keys: list[str], order: list[str], width: str, height: str, target: float, most: float = ROW_HEIGHT, gap: float = GAP) -> DataFrame:
+    """df with row and aspect: pictures (aspect clamped to [0.4, 3], 1 if unknown) fill a row of `target` pixels, less the
+    gaps between them, until it is no higher than `most`."""
 
     def step(s: dict, r: dict) -> dict:
         aspect = min(3.0, max(0.4, r[width] / r[height])) if r[width] and r[height] else 1.0
-        row = s.setdefault("row", 0)
-        s["sum"] = s.get("sum", 0.0) + aspect
-        if target / s["sum"] <= most:
-            s |= {"row": row + 1, "sum": 0.0}
-        return {"row": row}
+        row, n = s.get("row", 0), s.get("n", 0) + 1
+        total = s.get("sum", 0.0) + aspect
+        full = (target - gap * (n - 1)) / total <= most
+        s |= {"row": row + full, "n": 0 if full else n, "sum": 0.0 if full else total}
+        return {"row": row, "aspect": aspect}
+
+    return fold(df, keys, order, dict, step, "row int, aspect double")
+
 
-    return fold(df, keys, order, dict, step, "row int")
+def row_heights(rows: DataFrame, keys: list[str], target: float, most: float = ROW_HEIGHT, gap: float = GAP) -> DataFrame:
+    """(keys, row, pictures, height) of justified_rows(): full rows span the target, the last one is `most` high at most."""
+    own = rows.groupBy(*keys, "row").agg(F.count("*").alias("pictures"), F.sum("aspect").alias("sum"))
+    height = F.least(F.lit(most), (target - gap * (F.col("pictures") - 1)) / F.col("sum"))
+    return own.select(*keys, "row", "pictures", height.alias("height"))
 
 
 def hit_rate(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.session import cut
+
 DEPTH = 3
 EMPTY = "0" * 64
 DIGITS = "0123456789abcdef"
@@ -48,6 +50,23 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     return j.where(~F.col("x").eqNullSafe(F.col("y"))).select("path")
 
 
+def walk(local: DataFrame, remote: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(level, touched, differing) of a walk down two trees: each level asks for the children of the differing nodes above it
+    only; level 0 asks for the root. The trees and each level's differing nodes are written, so that no level computes those above it again."""
+    local, remote = cut(local, "tree"), cut(remote, "tree")
+    out, above = None, None
+    for level in range(depth + 1):
+        own = [t.where(F.length("path") == level) for t in (local, remote)]
+        if above is not None:
+            up = F.expr(f"substring(path, 1, {level - 1})") if level > 1 else F.lit("")
+            own = [t.join(above.withColumnRenamed("path", "up"), up == F.col("up"), "left_semi") for t in own]
+        bad = cut(differing(*own), "frontier")
+        touched = local.sparkSession.range(1).select(F.lit(1).cast("long").alias("touched")) if above is None else above.agg((F.count("*") * 16).alias("touched"))
+        row = touched.crossJoin(bad.agg(F.count("*").alias("differing"))).select(F.lit(level).alias("level"), "touched", "differing")  # one row each
+        out, above = row if out is None else out.union(row), bad
+    return out
+
+
 def diff(local: DataFrame, remote: DataFrame, sha: str = "sha256", depth: int = DEPTH) -> DataFrame:
     """(sha256, side): 'missing' on the remote or 'extra' there. Only members of differing buckets meet."""
     bad = differing(leaves(local, sha=sha, depth=depth), leaves(remote, sha=sha, depth=depth)).withColumnRenamed("path", "p")
@@ -67,11 +86,12 @@ def reconcile(asked: DataFrame, files: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def link(manifest: DataFrame, add: DataFrame, remove: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The new manifest, the rows really added and the rows really removed."""
+    """The new manifest, the rows really added and the rows really removed. Rows are added first, so what is in both goes."""
+    key = ["device_id", "sha256"]
     add, remove = add.distinct(), remove.distinct()
-    added = add.join(manifest, ["device_id", "sha256"], "left_anti")
-    removed = manifest.join(remove, ["device_id", "sha256"], "left_semi")
-    return manifest.join(remove, ["device_id", "sha256"], "left_anti").unionByName(added), added, removed
+    added = add.join(manifest, key, "left_anti")
+    both = manifest.unionByName(added)
+    return both.join(remove, key, "left_anti"), added, both.join(remove, key, "left_semi")
 
 
 def plan_mode(local: Column, remote: Column, same_root: Column) -> Column:

@@ -68,9 +68,13 @@ def seal_due(spark, d):
     return b.select("batch_id", D.seal_due(F.lit(100_001), 60_000).alias("due"))
 
 
-@R.add()
+@R.add(f"""{_PLACED}, lined AS (SELECT batch_id, size, row_number() OVER (PARTITION BY batch_id ORDER BY raw_offset, size) AS rn FROM placed),
+  fold AS (SELECT batch_id, rn, 0 AS idx, size AS held, size >= 16384 AS full FROM lined WHERE rn = 1
+    UNION ALL SELECT l.batch_id, l.rn, f.idx + f.full::INT, CASE WHEN f.full THEN l.size ELSE f.held + l.size END, CASE WHEN f.full THEN l.size ELSE f.held + l.size END >= 16384 FROM fold f JOIN lined l ON l.batch_id = f.batch_id AND l.rn = f.rn + 1),
+  packed AS (SELECT f.batch_id, f.idx, sum(l.size)::BIGINT AS raw_len, count(*) AS chunks FROM fold f JOIN lined l USING (batch_id, rn) GROUP BY ALL)
+  SELECT batch_id, idx::INT AS idx, coalesce(sum(raw_len) OVER (PARTITION BY batch_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS raw_start, raw_len, chunks FROM packed""")
 def frame_packing(spark, d):
-    return D.frames(_placed(spark, d), 16_384, ["raw_offset"])
+    return D.frames(_placed(spark, d), 16_384, ["raw_offset", "size"])
 
 
 @R.add()
@@ -186,11 +190,7 @@ def _shard_files(spark, d):
     s = _content(spark, d).withColumn("stripe_id", F.md5(F.concat_ws("-", "object_id", "seq")))
     coded = E.encode(s).join(s.select("object_id", "seq", "stripe_id", "k", "m", "shard_size", "data_offset", "data_len"), ["object_id", "seq"])
 
-    @F.udf("binary", useArrow=True)
-    def whole(stripe, idx, k, m, size, at, n, checksum, payload):
-        return E.pack_header(stripe, idx, k, m, size, at, n, bytes(checksum)) + bytes(payload)
-
-    return coded.withColumn("file", whole("stripe_id", "idx", "k", "m", "shard_size", "data_offset", "data_len", "checksum", "payload"))
+    return coded.withColumn("file", E.shard_files(*map(F.col, ("stripe_id", "idx", "k", "m", "shard_size", "data_offset", "data_len", "checksum", "payload"))))
 
 
 @R.add(with_views("stripes") + "SELECT object_id, seq, i::INT AS idx, CASE WHEN mark % 7 = 0 THEN 'missing' WHEN mark % 11 = 0 THEN 'corrupt' ELSE 'ok' END AS state FROM (SELECT object_id, seq, i, object_id * 3 + seq + i AS mark FROM stripes, range(6) t(i))")
@@ -230,14 +230,25 @@ def xor_parity(spark, d):
 
 
 # -- ingest ------------------------------------------------------------------
-@R.add("SELECT page_id AS id, CASE page_id % 8 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/x-raw' WHEN 3 THEN 'video/mp4' WHEN 4 THEN 'video/quicktime' WHEN 5 THEN 'image/heic' WHEN 6 THEN 'video/quicktime' ELSE 'application/octet-stream' END AS mime, CASE WHEN page_id % 8 IN (0, 1, 2, 5) THEN 'image' WHEN page_id % 8 = 7 THEN 'other' ELSE 'video' END AS kind, CASE WHEN page_id % 8 = 7 THEN 'nonmedia' ELSE 'media' END AS tier FROM pages")
+#: (name, leading bytes, type, kind, tier): what the rules of classification say of each.
+CLASSIFIED = [
+    ("a.jpg", b"\xff\xd8\xff\xe0", "image/jpeg", "image", "media"), ("b.bin", b"\x89PNG\r\n\x1a\n", "image/png", "image", "media"),
+    ("raw.NEF", b"\xff\xd8\xff\xe0", "image/x-raw", "image", "nonmedia"), ("x", b"GIF89a", "image/gif", "image", "media"),
+    ("c.webp", b"RIFF\1\2\3\4WEBP", "image/webp", "image", "media"), ("d", b"\0\0\0\x14ftypcrx \0\0\0\0crx ", "image/x-canon-cr3", "other", "nonmedia"),
+    ("e", b"\0\0\0\x18ftypavif\0\0\0\0avifmif1", "image/avif", "image", "media"), ("f", b"\0\0\0\x18ftypmif1\0\0\0\0mif1avis", "image/avif", "image", "media"),
+    ("g", b"\0\0\0\x18ftypmif1\0\0\0\0mif1hevx", "image/heic", "image", "media"), ("h", b"\0\0\0\x18ftypmsf1\0\0\0\0mif1msf1", "image/heif", "image", "media"),
+    ("i.heic", b"\0\0\0\x18ftypheic\0\0\0\0mif1heic", "image/heic", "image", "media"), ("j.mov", b"\0\0\0\x14ftypqt  \0\0\0\0qt  ", "video/quicktime", "video", "media"),
+    ("k", b"\0\0\0\x18ftyp3gp5\0\0\0\0isom3gp5", "video/3gpp", "video", "media"), ("l.mp4", b"\0\0\0\x18ftypmp42\0\0\0\0mp42isom", "video/mp4", "video", "media"),
+    ("m", b"\0\0\0\x18ftypabcd\0\0\0\0abcddash", "video/mp4", "video", "media"), ("n.txt", b"\0\0\0\x18ftypabcd\0\0\0\0isomabcd"[:16] + b"abcdefgh", "text/plain", "other", "nonmedia"),
+    ("o.MOV", b"\0\0\0\x08wide", "video/quicktime", "video", "media"), ("p.qt", b"no movie at all", "video/quicktime", "other", "nonmedia"),
+    ("q.tar.gz", b"\x1f\x8b", "application/x-tar", "other", "nonmedia"), ("no suffix", b"hello", "application/octet-stream", "other", "nonmedia"),
+]
+
+
+@R.add("SELECT page_id AS id, " + ", ".join(f"CASE page_id % {len(CLASSIFIED)} " + " ".join(f"WHEN {i} THEN '{c[j]}'" for i, c in enumerate(CLASSIFIED)) + f" END AS {name}" for j, name in ((2, "mime"), (3, "kind"), (4, "tier"))) + " FROM pages")
 def classify_bytes(spark, d):
-    i = F.col("page_id") % 8
-    heads = [b"\xff\xd8\xff\xe0", b"\x89PNG\r\n\x1a\n", b"II*\0", b"\0\0\0\x18ftypisom\0\0\0\0isommp42", b"\0\0\0\x14ftypqt  \0\0\0\0qt  ", b"\0\0\0\x18ftypmif1\0\0\0\0mif1heic"]
-    head = F.lit(b"")
-    for n, h in enumerate(heads):
-        head = F.when(i == n, F.lit(h)).otherwise(head)
-    name = F.when(i == 2, "x.DNG").when(i == 6, "clip.MOV").otherwise("file.bin")
+    i = (F.col("page_id") % len(CLASSIFIED) + 1).cast("int")
+    name, head = (F.element_at(F.array(*[F.lit(c[j]) for c in CLASSIFIED]), i) for j in (0, 1))
     body = F.concat(head, F.substring("html", 1, 64).cast("binary"))
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), I.classify(name, body).alias("c")).select("id", "c.*")
 
@@ -274,33 +285,56 @@ def upload_metadata(spark, d):
 # -- folds -------------------------------------------------------------------
 @R.add()
 def lru_cache(spark, d):
-    e = B.events(spark, d).select(F.lit(0).alias("shelf"), "event_id", "us", (F.col("user_id") * 7 + F.floor(F.col("value"))).alias("item"), (8000 + F.col("user_id") * 20).alias("size"))
+    """A cache per event type, so that no task folds the whole table."""
+    e = B.events(spark, d).select(F.col("event_type").alias("shelf"), "event_id", "us", (F.col("user_id") * 7 + F.floor(F.col("value"))).alias("item"), (8000 + F.col("user_id") * 20).alias("size"))
     return T.hit_rate(T.lru(e, ["shelf"], ["us", "event_id"], "item", "size", 200_000))
 
 
 @R.add()
 def lru_prefetch(spark, d):
-    e = B.events(spark, d).select("user_id", "event_id", F.row_number().over(C.Window.partitionBy("user_id").orderBy("us", "event_id")).alias("position"), F.lit(100).alias("size"))
-    return T.lru_prefetch(e, ["user_id"], ["event_id"], "position", "size", 3000, 60, 1 << 30).groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.sum("loads").alias("loads"))
+    e = B.events(spark, d).select("user_id", "event_id", F.row_number().over(C.Window.partitionBy("user_id").orderBy("us", "event_id")).alias("position"))
+    return T.lru_prefetch(e, ["user_id"], ["event_id"], "position", lambda i: 80 + i % 40, 3000, 60, 1 << 30).groupBy("user_id").agg(F.count_if("hit").alias("hits"), F.sum("loads").alias("loads"))
 
 
-@R.add()
+_LINED = "lined AS (SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY {1}) AS rn FROM ({2}))"
+
+
+@R.add("WITH RECURSIVE " + _LINED.format("user_id", "sec, event_id", "SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec FROM events") + """,
+  fold AS (SELECT user_id, event_id, sec, rn, true AS admitted, [sec] AS held FROM lined WHERE rn = 1
+    UNION ALL SELECT n.user_id, n.event_id, n.sec, n.rn, n.ok, CASE WHEN n.ok THEN list_append(n.kept, n.sec) ELSE n.kept END FROM
+      (SELECT l.user_id, l.event_id, l.sec, l.rn, list_filter(f.held, lambda x: l.sec - x <= 86400) AS kept, len(list_filter(f.held, lambda x: l.sec - x <= 86400)) < 2 AS ok FROM fold f JOIN lined l ON l.user_id = f.user_id AND l.rn = f.rn + 1) n)
+  SELECT user_id, event_id, sec, admitted FROM fold""")
 def rate_limit(spark, d):
-    e = B.events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"))
-    return T.rate_limit(e, ["user_id"], "at", "event_id", 2, 86_400.0)
+    e = B.events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("sec"))
+    return T.rate_limit(e, ["user_id"], "sec", "event_id", 2, 86_400.0)
 
 
-@R.add()
+@R.add("WITH RECURSIVE " + _LINED.format("user_id", "sec, event_id", "SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, coalesce(abs(value), 0.0::DOUBLE) AS amount FROM events") + """,
+  fold AS (SELECT user_id, event_id, sec, amount, rn, 50.0::DOUBLE - amount AS level FROM lined WHERE rn = 1
+    UNION ALL SELECT l.user_id, l.event_id, l.sec, l.amount, l.rn, least(50.0::DOUBLE, f.level + (l.sec - f.sec) * 0.001::DOUBLE) - l.amount FROM fold f JOIN lined l ON l.user_id = f.user_id AND l.rn = f.rn + 1)
+  SELECT user_id, event_id, sec, amount, greatest(0.0::DOUBLE, -level / 0.001::DOUBLE) AS delay FROM fold""")
 def token_bucket(spark, d):
-    e = B.events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("at"), F.coalesce(F.abs("value"), F.lit(0.0)).alias("amount"))
-    return T.token_bucket(e, ["user_id"], "at", "event_id", "amount", 0.001, 50.0)
+    e = B.events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("sec"), F.coalesce(F.abs("value"), F.lit(0.0)).alias("amount"))
+    return T.token_bucket(e, ["user_id"], "sec", "event_id", "amount", 0.001, 50.0)
 
 
-@R.add()
+_TOKENS = "SELECT user_id AS family, event_id, epoch_us(ts) / 1e6 AS sec, (event_id % 3)::VARCHAR AS token, CASE WHEN event_id % 41 = 0 THEN 'revoke_all' WHEN event_id % 2 = 0 THEN 'issue' ELSE 'use' END AS event FROM events"
+
+
+@R.add("WITH RECURSIVE " + _LINED.format("family", "sec, event_id", _TOKENS) + """,
+  fold AS (SELECT family, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::DOUBLE AS sec, NULL::VARCHAR AS token, NULL::VARCHAR AS event, NULL::VARCHAR AS outcome, false AS dead, MAP {}::MAP(VARCHAR, DOUBLE) AS issued, []::VARCHAR[] AS used FROM (SELECT DISTINCT family FROM lined)
+    UNION ALL SELECT family, rn, event_id, sec, token, event, outcome, dead OR outcome IN ('revoked', 'reuse'),
+      CASE WHEN outcome = 'issued' THEN map_from_entries(list_append(list_filter(map_entries(issued), lambda x: x.key <> token), {key: token, value: sec})) ELSE issued END,
+      CASE WHEN outcome = 'issued' THEN list_filter(used, lambda x: x <> token) WHEN outcome = 'rotated' THEN list_append(used, token) ELSE used END FROM
+      (SELECT l.family, l.rn, l.event_id, l.sec, l.token, l.event, f.dead, f.issued, f.used,
+        CASE WHEN l.event = 'issue' THEN CASE WHEN f.dead THEN 'refused' ELSE 'issued' END WHEN l.event = 'revoke_all' THEN 'revoked'
+          WHEN f.issued[l.token] IS NULL OR l.sec - f.issued[l.token] > 604800 THEN 'refused' WHEN f.dead OR list_contains(f.used, l.token) THEN 'reuse' ELSE 'rotated' END AS outcome
+        FROM fold f JOIN lined l ON l.family = f.family AND l.rn = f.rn + 1) n)
+  SELECT family, event_id, sec, token, event, outcome FROM fold WHERE rn > 0""")
 def token_family(spark, d):
     i = F.col("event_id")
-    e = B.events(spark, d).select(F.col("user_id").alias("family"), i, "us", (i % 3).cast("string").alias("token"), F.when(i % 41 == 0, "revoke_all").when(i % 2 == 0, "issue").otherwise("use").alias("event"))
-    return T.token_families(e, ["us", "event_id"])
+    e = B.events(spark, d).select(F.col("user_id").alias("family"), i, (F.col("us") / 1e6).alias("sec"), (i % 3).cast("string").alias("token"), F.when(i % 41 == 0, "revoke_all").when(i % 2 == 0, "issue").otherwise("use").alias("event"))
+    return T.token_families(e, ["sec", "event_id"], "sec", 604_800.0)
 
 
 @R.add()
@@ -311,21 +345,40 @@ def upload_replay(spark, d):
     return T.upload_replay(e, ["event_id"])
 
 
-@R.add()
+_DISK_EVENTS = "SELECT event_id % 60 AS disk_id, event_id, epoch_us(ts) AS us, CASE WHEN event_id % 971 = 0 THEN 'retire' WHEN event_id % 100 < 97 THEN ['error', 'error', 'probe_ok', 'error'][event_id % 4 + 1] ELSE ['error', 'smart_fail', 'probe_bad'][event_id % 3 + 1] END AS event FROM events"
+
+
+@R.add("WITH RECURSIVE " + _LINED.format("disk_id", "us, event_id", _DISK_EVENTS) + """,
+  fold AS (SELECT disk_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS us, NULL::VARCHAR AS event, 'online' AS status, 0 AS errors FROM (SELECT DISTINCT disk_id FROM lined)
+    UNION ALL SELECT l.disk_id, l.rn, l.event_id, l.us, l.event, CASE WHEN l.event = 'retire' OR f.status = 'retired' THEN 'retired'
+      WHEN l.event = 'error' THEN CASE WHEN f.status = 'online' AND f.errors + 1 >= 10 THEN 'degraded' ELSE f.status END WHEN l.event = 'probe_bad' THEN 'failed'
+      WHEN f.status = 'failed' THEN 'online' WHEN f.status = 'online' AND l.event = 'smart_fail' THEN 'degraded' ELSE f.status END, f.errors + (l.event = 'error')::INT
+      FROM fold f JOIN lined l ON l.disk_id = f.disk_id AND l.rn = f.rn + 1)
+  SELECT disk_id, event_id, us, event, status, errors FROM fold WHERE rn > 0""")
 def disk_health(spark, d):
     i = F.col("event_id")
-    event = F.element_at(F.array(*map(F.lit, ("error", "error", "probe_ok", "error", "smart_fail", "error", "probe_bad"))), F.when(i % 100 < 97, i % 4 + 1).otherwise(i % 7 + 1).cast("int"))
-    return T.disk_health(B.events(spark, d).select((i % 6).alias("disk_id"), i, "us", event.alias("event")), ["us", "event_id"])
+    of = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    event = F.when(i % 971 == 0, "retire").when(i % 100 < 97, of(("error", "error", "probe_ok", "error"), i % 4)).otherwise(of(("error", "smart_fail", "probe_bad"), i % 3))
+    return T.disk_health(B.events(spark, d).select((i % 60).alias("disk_id"), i, "us", event.alias("event")), ["us", "event_id"])
 
 
-@R.add()
+@R.add("WITH RECURSIVE " + _LINED.format("job", "event_id", "SELECT event_id % 400 AS job, event_id, ['start', 'error', 'start', 'ok', 'restart'][event_id // 7 % 5 + 1] AS event FROM events") + """,
+  fold AS (SELECT job, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::VARCHAR AS event, 'queued' AS state, 0 AS attempts FROM (SELECT DISTINCT job FROM lined)
+    UNION ALL SELECT l.job, l.rn, l.event_id, l.event, CASE WHEN l.event = 'start' AND f.state = 'queued' THEN 'running' WHEN f.state <> 'running' THEN f.state
+      WHEN l.event = 'ok' THEN 'done' WHEN l.event = 'error' THEN CASE WHEN f.attempts >= 5 THEN 'failed' ELSE 'queued' END WHEN l.event = 'restart' THEN 'queued' ELSE f.state END,
+      f.attempts + (l.event = 'start' AND f.state = 'queued')::INT FROM fold f JOIN lined l ON l.job = f.job AND l.rn = f.rn + 1)
+  SELECT job, event_id, event, state, attempts FROM fold WHERE rn > 0""")
 def job_states(spark, d):
     i = F.col("event_id")
     event = F.element_at(F.array(*map(F.lit, ("start", "error", "start", "ok", "restart"))), (F.floor(i / 7) % 5 + 1).cast("int"))
     return T.job_states(B.events(spark, d).select((i % 400).alias("job"), i, event.alias("event")), ["event_id"])
 
 
-@R.add()
+@R.add(with_views("files") + ", " + _LINED.format("album", "id", "SELECT camera_make AS album, id, least(3.0::DOUBLE, greatest(0.4::DOUBLE, width::DOUBLE / height)) AS aspect FROM files") + """,
+  fold AS (SELECT album, rn, 0 AS line, 1 AS n, aspect AS sum, 1000.0::DOUBLE / aspect <= 200 AS full FROM lined WHERE rn = 1
+    UNION ALL SELECT album, rn, line, n, s, (1000.0::DOUBLE - 4 * (n - 1)) / s <= 200 FROM
+      (SELECT l.album, l.rn, f.line + f.full::INT AS line, CASE WHEN f.full THEN 1 ELSE f.n + 1 END AS n, CASE WHEN f.full THEN l.aspect ELSE f.sum + l.aspect END AS s FROM fold f JOIN lined l ON l.album IS NOT DISTINCT FROM f.album AND l.rn = f.rn + 1) x)
+  SELECT album, line::INT AS row, max(n)::BIGINT AS pictures, least(200.0::DOUBLE, (1000.0::DOUBLE - 4 * (max(n) - 1)) / max(sum)) AS height FROM fold GROUP BY 1, 2""")
 def justified_rows(spark, d):
     f = B.files(spark, d).select(F.col("camera_make").alias("album"), "id", "width", "height")
-    return T.justified_rows(f, ["album"], ["id"], "width", "height", 1000.0)
+    return T.row_heights(T.justified_rows(f, ["album"], ["id"], "width", "height", 1000.0), ["album"], 1000.0)

@@ -68,10 +68,12 @@ def reingest_anti(spark, d):
     return B.stored_items(spark, d).select("sha256").join(own, "sha256", "left_anti")
 
 
-@R.add(with_views("device_items") + ", m AS (SELECT * FROM device_items WHERE device_id < 40), a AS (SELECT device_id, sha256 FROM device_items WHERE device_id BETWEEN 20 AND 60), r AS (SELECT * FROM device_items WHERE device_id BETWEEN 10 AND 15) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM m)) AS linked, (SELECT count(*) FROM (SELECT * FROM m INTERSECT SELECT * FROM r)) AS unlinked, (SELECT count(*) FROM (SELECT * FROM m EXCEPT SELECT * FROM r UNION SELECT * FROM a)) AS total")
+@R.add(with_views("device_items", "stored_items") + ", m AS (SELECT * FROM device_items), a AS (SELECT DISTINCT user_id AS device_id, sha256('item-' || (event_id * 7 % 2000)) AS sha256 FROM events), r AS (SELECT * FROM (SELECT * FROM m UNION SELECT * FROM a) WHERE sha256 IN (SELECT sha256 FROM stored_items WHERE purged)) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM m)) AS linked, (SELECT count(*) FROM r) AS unlinked, (SELECT count(*) FROM ((SELECT * FROM m UNION SELECT * FROM a) EXCEPT SELECT * FROM r)) AS total")
 def manifest_link(spark, d):
+    """All manifests at once: what other items of the same devices add, and what tombstones remove."""
     i = B.device_items(spark, d)
-    after, added, removed = Y.link(i.where("device_id < 40"), i.where("device_id BETWEEN 20 AND 60"), i.where("device_id BETWEEN 10 AND 15"))
+    add = table(spark, d, "events").select(F.col("user_id").alias("device_id"), F.sha2(F.concat(F.lit("item-"), (F.col("event_id") * 7 % 2000).cast("string")), 256).alias("sha256"))
+    after, added, removed = Y.link(i, add, i.union(add).join(B.stored_items(spark, d).where("purged"), "sha256", "left_semi").select("device_id", "sha256"))
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return one(added, "linked").crossJoin(one(removed, "unlinked")).crossJoin(one(after, "total"))  # one row each
 

@@ -27,10 +27,12 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's setting, or one of our own where it is unset."""
+    """The folder that all executors share: the cluster's setting. Only a local master may do without; it gets a folder of its own."""
     sc = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT, None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {_CHECKPOINT} to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="galena-")
         atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -44,7 +46,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/galena/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
