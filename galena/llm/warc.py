@@ -85,7 +85,7 @@ def unpack(archive: bytes) -> Iterator[bytes]:
                 raw = zstandard.ZstdDecompressor().decompressobj().decompress(raw)
             if raw[:4] != DICT_MAGIC:
                 raise ValueError("the leading frame holds no dictionary")
-            own = zstandard.ZstdCompressionDict(raw)
+            own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_FULLDICT)
             own.precompute_compress(level=1)  # fails for a broken one
         except zstandard.ZstdError as e:
             raise ValueError(f"dictionary: {e}") from e
