@@ -116,8 +116,8 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     """
     known = labelled.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(lang).isNotNull())
     known = known.select(F.xxhash64(key, text).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    labels = known.groupBy("l").agg(F.count("*").alias("c"))
-    # a language's smallest hashes lie far below this share of all hashes, so that few rows are ordered at any size
+    labels = known.groupBy("l").agg(F.approx_count_distinct("k").alias("c"))
+    # a language's smallest hashes lie far below this share of all hashes (of its distinct rows), so that few rows are ordered at any size
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
     near = known.select("k", "l", place.alias("h")).join(F.broadcast(labels), "l").where(F.col("h") <= F.lit(float(1 << 40)) * (8 * rows) / F.col("c"))
     order = Window.partitionBy("l").orderBy("h", "k")
