@@ -117,7 +117,7 @@ def image_gradient_codes(spark, d):
     return _pixels(spark, d, 72).select("id", N.image_codes(F.col("pixels"), F.lit(9), "dhash").alias("code"))
 
 
-@R.add()  # its medians tie to the last bit on some pictures, which sums in another order decide otherwise
+@R.add()  # SQL disagreed on some pictures of sf0.01: likely ties of the median in the last bit, which isn't shown
 def image_frequency_codes(spark, d):
     return _pixels(spark, d, 1024).select("id", N.image_codes(F.col("pixels"), F.lit(32), "phash").alias("code"))
 
