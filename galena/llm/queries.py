@@ -71,8 +71,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_id: the smallest doc_id of the near duplicates, found by bands of the fingerprints and verified."""
-    f = fingerprint.with_near(_table(spark, sf_dir, "documents"))
-    return f.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "near_id")
+    d = _table(spark, sf_dir, "documents")
+    f = fingerprint.compare_with_next(d)
+    f = f.select("id", F.length("text").cast("long").alias("n_chars"), _sha(F.col("edited")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return fingerprint.with_near(f, d).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_ngram_join, op3_suffix_dedup, op4_lang_id, op5_html_text, op6_mixing, op7_ann, op8_lm_score, op9_warc, op10_fingerprint)}
