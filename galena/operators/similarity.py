@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,12 @@ from pyspark.sql import functions as F
 
 from galena.functions import scalars as S
 from galena.operators.graph import connected_components
-from galena.session import cut
+from galena.session import cut, partitions
 
 #: Rows on the plain side up to which all codes are compared with it directly; a measured size, checked before use.
 NESTED_ROWS = 30_000
+#: Neighbours that a code's bands ask for at most, and pairs of codes compared at once.
+ASKED, BLOCK = 150, 1_000_000
 
 
 # -- codes -------------------------------------------------------------------
@@ -98,18 +102,33 @@ def masks(radius: int, width: int = 16) -> list[int]:
     return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
 
 
+@lru_cache(maxsize=16)
+def band_plan(radius: int) -> list[tuple[int, int, int]]:
+    """(shift, width, r) of bands such that two codes within radius differ in r bits at most in some band of theirs.
+
+    The r of b bands add up to radius + 1 - b: were every band over its r, the codes would differ in radius + 1 bits. Fewer
+    bands meet fewer others but ask for more neighbours; the fewest bands with at most ASKED neighbours of a code are taken.
+    """
+    for n in range(1, 65):
+        widths = [64 // n + (i < 64 % n) for i in range(n)]
+        r = [max(0, radius + 1 - n) // n + (i < max(0, radius + 1 - n) % n) for i in range(n)]
+        if sum(comb(w, k) for w, m in zip(widths, r, strict=True) for k in range(min(w, m) + 1)) <= ASKED:
+            break
+    return [(sum(widths[:i]), w, min(w, m)) for i, (w, m) in enumerate(zip(widths, r, strict=True))]
+
+
 def hamming_pairs(codes: DataFrame, radius: int = 10, strategy: str | None = None) -> DataFrame:
     """(a, b, distance) with a < b and distance <= radius, exact.
 
-    Codes with equal bits are joined once per distinct code and expanded at the end. 'bands': some 16-bit band of two
-    codes within radius differs in radius // 4 bits at most, so one side takes every such neighbour of its bands and
-    meets the other side's bands; 'nested': every code against a broadcast of all, taken only below a counted size.
+    Codes with equal bits are joined once per distinct code and expanded at the end. 'bands': some band of two codes within
+    radius differs in few bits (`band_plan`), so one side takes every such neighbour of its bands and meets the other
+    side's bands; 'nested': every code against a broadcast of all, taken only below a counted size.
     """
     c = codes.where(F.col("id").isNotNull() & F.col("code").isNotNull()).select("id", "code")
     distinct = c.select("code").distinct()
     if strategy is None:
         strategy = "nested" if distinct.limit(NESTED_ROWS + 1).count() <= NESTED_ROWS else "bands"
-    near = _near(distinct, distinct.withColumnRenamed("code", "other"), radius, strategy).where("code < other")
+    near = cut(_near(distinct, distinct.withColumnRenamed("code", "other"), radius, strategy).where("code < other"), "near")
     d = S.hamming(F.col("code"), F.col("other"))
     left, right = c.withColumnRenamed("id", "x"), c.select(F.col("id").alias("y"), F.col("code").alias("other"))
     unlike = near.join(left, "code").join(right, "other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
@@ -122,11 +141,69 @@ def _near(left: DataFrame, right: DataFrame, radius: int, strategy: str) -> Data
     ok = F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= radius
     if strategy == "nested":
         return left.join(F.broadcast(right), ok)  # counted: NESTED_ROWS at most
-    bands = lambda c: F.array(*[F.struct(F.lit(i).alias("i"), S.band(c, i).alias("v")) for i in range(4)])
-    spread = F.array(*map(F.lit, masks(radius // 4)))
-    one = left.select("code", F.explode(bands(F.col("code"))).alias("k")).select("code", F.col("k.i").alias("i"), F.explode(F.transform(spread, lambda m: F.col("k.v").bitwiseXOR(m))).alias("v"))
-    two = right.select("other", F.explode(bands(F.col("other"))).alias("k")).select("other", "k.i", "k.v")
-    return one.join(two, ["i", "v"]).where(ok).select("code", "other").distinct()
+    plan = band_plan(radius)
+
+    def places(code: Column, i: int, neighbours: bool) -> Column:
+        shift, width, r = plan[i]
+        v = F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else code
+        spread = F.array(*[F.lit(m).cast("long") for m in (masks(r, width) if neighbours else [0])])
+        return F.transform(spread, lambda m: F.struct(F.lit(i).alias("i"), v.bitwiseXOR(m).alias("v")))
+
+    def at(code: Column, neighbours: bool) -> Column:
+        """A row for each place (band, value) of a code, or for all that its bands may meet."""
+        return F.explode(F.concat(*[places(code, i, neighbours) for i in range(len(plan))]))
+
+    own = left.select(F.lit(False).alias("asked"), "code", at(F.col("code"), False).alias("k"))
+    asked = right.select(F.lit(True).alias("asked"), F.col("other").alias("code"), at(F.col("other"), True).alias("k"))
+    # dealt and sorted, not joined: the planner takes the many neighbours for as few bytes as the codes and would broadcast them
+    met = own.union(asked).select("k.i", "k.v", "asked", "code").repartition(partitions(left.sparkSession), "i", "v").sortWithinPartitions("i", "v")
+    return met.mapInArrow(_meet(radius, plan), "code long, other long")
+
+
+def _meet(radius: int, plan: list[tuple[int, int, int]]):
+    """Sorted rows (i, v, asked, code) -> (code, other) within radius, each pair in the first of its bands that meet.
+
+    The codes of one place are held as numbers of 8 bytes and compared in blocks.
+    """
+    schema = pa.schema([("code", pa.int64()), ("other", pa.int64())])
+
+    def pairs(i: int, own: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK // max(1, len(own)))
+        for a in range(0, len(asked), step):
+            unlike = asked[a : a + step, None] ^ own[None, :]
+            x, y = np.nonzero(np.bitwise_count(unlike) <= radius)
+            d = unlike[x, y]
+            first = np.ones(len(x), bool)
+            for shift, width, r in plan[:i]:
+                first &= np.bitwise_count((d >> np.uint64(shift)) & np.uint64((1 << width) - 1)) > r
+            if first.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[y[first]].view(np.int64)), pa.array(asked[a : a + step][x[first]].view(np.int64))], schema=schema)
+
+    def place(i: int, rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        is_asked, code = (np.concatenate(c) for c in zip(*rows, strict=True))
+        own, asked = code[~is_asked], code[is_asked]
+        if len(own) and len(asked):
+            for k in range(0, len(own), BLOCK):
+                yield from pairs(i, own[k : k + BLOCK], asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            if not len(batch):
+                continue
+            i, v, code = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            is_asked, code = batch.column(2).to_numpy(zero_copy_only=False), code.view(np.uint64)
+            cuts = np.r_[0, np.flatnonzero((i[1:] != i[:-1]) | (v[1:] != v[:-1])) + 1, len(i)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if (i[a], v[a]) != now:
+                    if held:
+                        yield from place(int(now[0]), held)
+                    now, held = (i[a], v[a]), []
+                held.append((is_asked[a:b], code[a:b]))
+        if held:
+            yield from place(int(now[0]), held)
+
+    return run
 
 
 def hamming_search(codes: DataFrame, queries: DataFrame, radius: int, strategy: str = "bands") -> DataFrame:
