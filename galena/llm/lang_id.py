@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,35 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
     return Model(languages, codes, width, deep, cost)
 
 
+def window_counts(sample: DataFrame) -> DataFrame:
+    """(l, k, n): the windows of each label's texts (l, t) and how often they occur, a row per label and window.
+
+    A label's bounded sample is counted in one stream, so that the rows don't grow with the parts that it came in.
+    """
+    schema = pa.schema([("l", pa.string()), ("k", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, keys, times = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], schema=schema)
+
+        for batch in batches:
+            labels, texts = (c.to_pylist() for c in batch.columns)
+            for own, rows in groupby(range(len(labels)), labels.__getitem__):
+                if own != name:
+                    if len(keys):
+                        yield out()
+                    name, keys, times = own, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                k, n = grams([texts[i].encode() for i in rows])
+                keys, at = np.unique(np.r_[keys, k], return_inverse=True)
+                times = np.bincount(at, np.r_[times, n], len(keys)).astype(np.int64)
+        if len(keys):
+            yield out()
+
+    return sample.repartition("l").sortWithinPartitions("l").mapInArrow(run, "l string, k long, n long")
+
+
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on at most `rows` whole texts of each language; every label is one.
 
@@ -124,14 +154,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     ids = near.dropDuplicates(["k", "l"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     sample = known.join(F.broadcast(ids.select("k", "l")), ["k", "l"], "left_semi").dropDuplicates(["k", "l"])  # `rows` a label
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            frame = batch.to_pandas()
-            for name, own in frame.groupby("l"):
-                k, n = grams([t.encode() for t in own["t"]])
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k.astype(np.int64)), pa.array(n.astype(np.int64))], ["l", "k", "n"])
-
-    counted = sample.select("t", "l").mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n")).toPandas()
+    counted = window_counts(sample.select("l", "t")).toPandas()
     if counted.empty:
         return build({})
     return build({name: (own["k"].to_numpy(np.uint32), own["n"].to_numpy(np.int64)) for name, own in counted.groupby("l")})

@@ -97,3 +97,15 @@ def test_every_label_is_learned(spark):
     assert model.languages == [f"l{j:02}" for j in range(70)]
     got = d.withColumn("g", lang_id.predict(F.col("text"), model, spark)).collect()
     assert all(r.g.lang == r.lang for r in got)
+
+
+def test_a_window_of_a_label_is_one_row(spark):
+    """The rows counted don't grow with the parts that the sample came in."""
+    texts = [("a", "one two three"), ("b", "uno due tre"), ("a", "two three four")] * 30
+    sample = spark.createDataFrame(texts, "l string, t string").repartition(30)
+    got = [tuple(r) for r in lang_id.window_counts(sample).collect()]
+    want = {}
+    for name in "ab":
+        k, n = lang_id.grams([t.encode() for own, t in texts if own == name])
+        want |= {(name, x): c for x, c in zip(k.tolist(), n.tolist(), strict=True)}
+    assert len(got) == len(want) and {(name, k): n for name, k, n in got} == want
