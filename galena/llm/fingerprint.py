@@ -254,11 +254,40 @@ def bands(print_: tuple[int, bytes]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def _padded(packed: list[bytes], sizes: np.ndarray, own: np.ndarray, weight: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Likenesses of a fingerprint's samples to others of `sizes` samples."""
+    m, top = len(own), int(sizes.max())
+    width = -(-top // 8)
+    bits = np.unpackbits(np.frombuffer(b"".join(x[:width].ljust(width, b"\0") for x in packed), np.uint8).reshape(len(packed), width), axis=1)
+    both = min(m, top)
+    unlike = (bits[:, :both] != own[:both]) & (np.arange(both) < sizes[:, None])
+    low, high = np.minimum(sizes, m), np.maximum(sizes, m)
+    return 1 - 2 * (unlike @ weight[:both] + (upto[high] - upto[low]) / 2) / upto[high]
+
+
+class _Members:
+    """The classes linked to one leader: names, samples, and the unlike steps between each and the leader."""
+
+    def __init__(self):
+        self.n, self.names, self.packed = 0, [], []
+        self.sizes, self.far = np.zeros(4, np.int64), np.zeros(4)
+
+    def add(self, name: int, packed: bytes, size: int, far: float) -> None:
+        if self.n == len(self.sizes):
+            self.sizes, self.far = np.r_[self.sizes, np.zeros(self.n, np.int64)], np.r_[self.far, np.zeros(self.n)]
+        self.sizes[self.n], self.far[self.n] = size, far
+        self.names.append(name)
+        self.packed.append(packed)
+        self.n += 1
+
+
 def _bucket_links(at_least: float):
-    """Sorted rows (band, c, fingerprint) -> links (a, b), a > b, of the classes of each bucket.
+    """Sorted rows (band, c, fingerprint) -> links (a, b), a > b, that join all classes of a bucket which its links join.
 
     A bucket is read as a stream: a class is compared with the bucket's leaders, the classes before it that were linked to
-    none, so that only those are held. A group of copies has one leader or few.
+    none of the leaders then. Unlike steps are a distance (a step past an end counts half), so a member of a leader can be linked to the class
+    only if both are about as far from that leader; such members are compared too, unless their leader is joined to the
+    class already. Members are held packed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +295,16 @@ def _bucket_links(at_least: float):
         upto = np.r_[0.0, np.cumsum(weight)]
         place = np.arange(len(steps))
         now, leaders, sizes, bits = None, [], np.zeros(0, np.int64), np.zeros((0, 0), np.uint8)
+        members: list[_Members] = []
+        most_far, longest = np.zeros(0), np.zeros(0, np.int64)  # of each leader's members
+        root: list[int] = []  # of each leader: another that it is joined to, or itself
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         for batch in batches:
             links: tuple[list, list] = ([], [])
             for band, c, shown in zip(*(x.to_pylist() for x in batch.columns), strict=True):
@@ -274,24 +313,51 @@ def _bucket_links(at_least: float):
                 own = np.unpackbits(np.frombuffer(packed, np.uint8), count=m)
                 if band != now:
                     now, leaders, sizes, bits = band, [], np.zeros(8, np.int64), np.zeros((8, m), np.uint8)
+                    members, root, most_far, longest = [], [], np.full(8, -np.inf), np.zeros(8, np.int64)
                 k = len(leaders)
+                joined: list[int] = []
+                far = np.zeros(0)
                 if k:
                     both = min(m, bits.shape[1])
                     unlike = (bits[:k, :both] != own[:both]) & (place[:both] < sizes[:k, None])
                     low, high = np.minimum(sizes[:k], m), np.maximum(sizes[:k], m)
-                    near = 1 - 2 * (unlike @ weight[:both] + (upto[high] - upto[low]) / 2) / upto[high]
-                    hit = np.flatnonzero(near >= at_least)
-                    links[0].extend([c] * len(hit))
-                    links[1].extend(leaders[i] for i in hit.tolist())
-                    if len(hit):
+                    far = unlike @ weight[:both] + (upto[high] - upto[low]) / 2
+                    near = 1 - 2 * far / upto[high]
+                    joined = np.flatnonzero(near >= at_least).tolist()
+                    links[0].extend([c] * len(joined))
+                    links[1].extend(leaders[i] for i in joined)
+                home = joined[0] if joined else k
+                for i in joined[1:]:
+                    root[top(i)] = top(home)
+                if home == k:  # a leader from now on
+                    if k == len(sizes):
+                        sizes, bits = np.r_[sizes, np.zeros(k, np.int64)], np.concatenate([bits, np.zeros_like(bits)])
+                        most_far, longest = np.r_[most_far, np.full(k, -np.inf)], np.r_[longest, np.zeros(k, np.int64)]
+                    if m > bits.shape[1]:
+                        bits = np.concatenate([bits, np.zeros((len(bits), m - bits.shape[1]), np.uint8)], axis=1)
+                    sizes[k] = m
+                    bits[k, :m] = own
+                    leaders.append(c)
+                    members.append(_Members())
+                    root.append(k)
+                for i in np.flatnonzero(far - most_far[:k] <= (1 - at_least) / 2 * upto[np.maximum(longest[:k], m)] + 1e-6 * upto[m]).tolist():
+                    if top(i) == top(home):
                         continue
-                if k == len(sizes):
-                    sizes, bits = np.r_[sizes, np.zeros(k, np.int64)], np.concatenate([bits, np.zeros_like(bits)])
-                if m > bits.shape[1]:
-                    bits = np.concatenate([bits, np.zeros((len(bits), m - bits.shape[1]), np.uint8)], axis=1)
-                sizes[k] = m
-                bits[k, :m] = own
-                leaders.append(c)
+                    of = members[i]
+                    most = (1 - at_least) / 2 * upto[np.maximum(of.sizes[: of.n], m)]
+                    could = np.flatnonzero(np.abs(far[i] - of.far[: of.n]) <= most + 1e-6 * upto[m])
+                    for at in range(0, len(could), 1024):
+                        some = could[at : at + 1024]
+                        hit = np.flatnonzero(_padded([of.packed[j] for j in some], of.sizes[some], own, weight, upto) >= at_least)
+                        if len(hit):
+                            other = of.names[int(some[hit[0]])]
+                            links[0].append(max(c, other))
+                            links[1].append(min(c, other))
+                            root[top(i)] = top(home)
+                            break
+                if home < k:
+                    members[home].add(c, packed, m, float(far[home]))
+                    most_far[home], longest[home] = max(most_far[home], far[home]), max(longest[home], m)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
     return run
@@ -311,9 +377,9 @@ def _components(links: DataFrame) -> DataFrame:
 def near_duplicates(prints: DataFrame, key: str = "doc_id", shown: str = "fingerprint", at_least: float = 0.8) -> DataFrame:
     """(c, near_id): c is xxhash64 of a fingerprint, near_id the smallest id of the documents linked to it by likeness >= at_least.
 
-    Equal fingerprints are one class; its first member's bands are buckets. Every class of a bucket is compared with the
-    bucket's leaders, the classes before it that were linked to none; what is linked is verified. Two classes without a band
-    in common and without others between them aren't found, nor are two members of unlike leaders in each of their buckets.
+    Equal fingerprints are one class; its first member's bands are buckets. The classes of a bucket are joined as comparing all
+    of them would join them; what is linked is verified. Two classes without a band in common and without others between
+    them aren't found.
     Classes of one document without links are absent, and so are null fingerprints and those of empty texts, which link
     with nothing. Null ids never name a group unless all its ids are null.
     """
