@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm import hashing
-from galena.session import cut
+from galena.session import cut, release
 
 #: Bits per filter entry, probes per level, bound of a broadcast filter, tokens per counted and per scored batch, bound of the broadcast words.
 BITS, PROBES, MAX_BYTES, BATCH, SCORED, HEAVY = 8, 4, 256 * 2**20, 1_000_000, 250_000, 50_000
@@ -423,6 +423,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bytes: i
     spark = docs.sparkSession
     parts = hashing.parts(docs, text, EACH)
     model, counts, segments = learn(docs.where(~held_out(F.col(key))), text, max_bytes, parts)
+    release(spark)  # the n-grams' shuffle files, which are most of the disk, before those of the scores
     shared = spark.sparkContext.broadcast(model)  # at most max_bytes and HEAVY words; without the filter if it is larger
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("id"), held_out(F.col(key)).alias("held"), F.col(text).alias("t"))
     if segments is None:
