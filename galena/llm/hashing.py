@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,38 @@ def parts(df: DataFrame, text: str, each: int = 32 << 20) -> int:
     return max(partitions(df.sparkSession), text_bytes(df, text) // each)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a Python worker that waits for the next stage would keep it, next to the JVM's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function of batches that trims when its task ends."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return inner
+
+
+def trimmed_group(run: Callable) -> Callable:
+    """A function of a group's table that trims after each group."""
+
+    def inner(table: pa.Table) -> pa.Table:
+        out = run(table)
+        trim()
+        return out
+
+    return inner
+
+
 class WordHash(dict):
     """word -> 64-bit hash, remembered for at most `memo` words."""
 

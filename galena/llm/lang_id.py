@@ -178,6 +178,7 @@ def predict(text: Column, model: Model, spark) -> Column:
                 langs[pick] = np.array(own.languages, object)[best]
                 scores[pick] = score
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
+        hashing.trim()
 
     lettered = F.when(text.rlike(r"\p{L}"), text)
     return run.asNondeterministic()(lettered)  # evaluated once, also below a filter

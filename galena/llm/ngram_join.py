@@ -312,9 +312,9 @@ def _labelled(docs: DataFrame, k: int, numerator: int, denominator: int, key: st
     """(key, doc_id, n, sig) of each row, and (sig, n, label, component_id) of the sets that may have links. Both are written or read from written tables."""
     parts = 2 * hashing.parts(docs, text)
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.mapInArrow(_deal(parts, k), _SCHEMA)
-    shared = dealt.groupBy("part").applyInArrow(_shared(parts), _SCHEMA)
-    base = cut(shared.groupBy("part").applyInArrow(_gather(numerator, denominator), "key long, doc_id long, n long, sig binary, tokens binary"), "sets")
+    dealt = rows.mapInArrow(hashing.trimmed(_deal(parts, k)), _SCHEMA)
+    shared = dealt.groupBy("part").applyInArrow(hashing.trimmed_group(_shared(parts)), _SCHEMA)
+    base = cut(shared.groupBy("part").applyInArrow(hashing.trimmed_group(_gather(numerator, denominator)), "key long, doc_id long, n long, sig binary, tokens binary"), "sets")
 
     able = base.where(F.col("tokens").isNotNull())
     classes = cut(able.groupBy("sig", "n").agg(F.min("key").alias("rid"), F.min("doc_id").alias("least")), "classes")
@@ -345,7 +345,7 @@ def _labelled(docs: DataFrame, k: int, numerator: int, denominator: int, key: st
     placed = members.join(loads, "g").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
     placed = placed.select("g", "rid", "n", "tokens", "block", F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(2 * parts))).alias("pack"), (F.col("blocks") > 1).alias("big"), F.explode(pair).alias("p"))
-    links = placed.select("g", "rid", "n", "tokens", "block", "pack", "big", "p.i", "p.j").groupBy("big", "pack", "i", "j").applyInArrow(_join_block(numerator, denominator), "a long, b long")
+    links = placed.select("g", "rid", "n", "tokens", "block", "pack", "big", "p.i", "p.j").groupBy("big", "pack", "i", "j").applyInArrow(hashing.trimmed_group(_join_block(numerator, denominator)), "a long, b long")
     found = connected_components(cut(links, "links"))
     labelled = classes.join(found, classes["rid"] == found["id"], "left").select("sig", classes["n"], "least", F.coalesce("label", "rid").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -416,8 +416,8 @@ def _ranked(reps: DataFrame, parts: int) -> DataFrame:
             out.append((p, _TOKENS, hashing.pack48(token[a:b]), owners, counts, spread[a:b].tobytes(), None, None))
         return _rows(out)
 
-    dealt = reps.select("rid", "n", "tokens").mapInArrow(deal, _SCHEMA).groupBy("part").applyInArrow(count, _SCHEMA)
-    return dealt.groupBy("part").applyInArrow(order, "rid long, n long, tokens binary")
+    dealt = reps.select("rid", "n", "tokens").mapInArrow(hashing.trimmed(deal), _SCHEMA).groupBy("part").applyInArrow(hashing.trimmed_group(count), _SCHEMA)
+    return dealt.groupBy("part").applyInArrow(hashing.trimmed_group(order), "rid long, n long, tokens binary")
 
 
 def keep_one(docs: DataFrame, k: int = 5, numerator: int = 80, denominator: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,7 +35,7 @@ from galena.session import cut
 
 LENGTH, GRAM = 100, 32
 #: Bytes per batch; sampled documents; sampled documents with unlike contents from which a minimizer counts as common; bytes per suffix array.
-BATCH, SAMPLE, COMMON, PIECE = 8_000_000, 4000, 12, 1_000_000
+BATCH, SAMPLE, COMMON, PIECE = 4_000_000, 4000, 12, 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -394,14 +394,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: s
     parts = hashing.parts(docs, text)
     keyed = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     common = spark.sparkContext.broadcast(_common(keyed, length))  # of a bounded sample
-    dealt = keyed.mapInArrow(_deal(parts, length, common), _SCHEMA)
-    settled = dealt.groupBy("part").applyInArrow(_settle(parts), _SCHEMA)
+    dealt = keyed.mapInArrow(hashing.trimmed(_deal(parts, length, common)), _SCHEMA)
+    settled = dealt.groupBy("part").applyInArrow(hashing.trimmed_group(_settle(parts)), _SCHEMA)
     found = cut(settled.groupBy("part").applyInArrow(_per_document, "key long, gone binary, h binary, open binary"), "repeats")
     opened = found.where(F.length("open") > 0).select("key", "h", "open")
     load = opened.agg(F.sum(F.length("open"))).first()[0] or 0
     tasks = max(1, load // 8 * (length + length // 3) // PIECE)
-    segs = keyed.join(opened, "key").select("key", "id", "text", "h", "open").mapInArrow(_cutter(length), "h long, id long, key long, first long, bytes binary")
-    judged = segs.withColumn("task", F.pmod(F.xxhash64("h"), F.lit(int(tasks)))).groupBy("task").applyInArrow(_judge(length), "key long, gone binary")
+    segs = keyed.join(opened, "key").select("key", "id", "text", "h", "open").mapInArrow(hashing.trimmed(_cutter(length)), "h long, id long, key long, first long, bytes binary")
+    judged = segs.withColumn("task", F.pmod(F.xxhash64("h"), F.lit(int(tasks)))).groupBy("task").applyInArrow(hashing.trimmed_group(_judge(length)), "key long, gone binary")
     runs = found.where(F.length("gone") > 0).select("key", "gone").union(judged)
     return runs.groupBy("key").agg(F.listagg("gone").alias("gone"))
 
