@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,12 @@ from pyspark.sql import functions as F
 
 from galena.llm import hashing
 from galena.operators.graph import connected_components
-from galena.session import cut
+from galena.session import cut, partitions
 
 #: Shingles per batch of documents; local document count from which a shingle is flagged; shingles per trie.
 BATCH, FLAG, BLOCK = 1_000_000, 64, 1_500_000
+#: Bytes of text per part at most; bytes of text for each row that goes from a part to another.
+EACH, PIECE = 16 << 20, 4 << 10
 _EVERYWHERE = np.iinfo(np.int32).max
 _NAMES = ("part", "kind", "a", "b", "c", "d", "e", "f")
 _SCHEMA = "part int, kind int, a binary, b binary, c binary, d binary, e binary, f binary"
@@ -38,6 +41,15 @@ _ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32())] + [(c, pa.binary
 _DOCS, _TOKENS = 1, 0
 
 
+def _parts(docs: DataFrame, text: str) -> int:
+    """Into how many parts shingles and documents are dealt; it steers memory, not results.
+
+    Every part sends a row to every other one, so the shuffle's partitions count only as far as the texts fill those rows.
+    """
+    size = hashing.text_bytes(docs, text)
+    return max(1, size // EACH, min(2 * partitions(docs.sparkSession), isqrt(size // PIECE)))
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 8, _ARROW, strict=True)], schema=_ARROW)
 
@@ -310,7 +322,8 @@ def _join_block(numerator: int, denominator: int):
 
 def _labelled(docs: DataFrame, k: int, numerator: int, denominator: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(key, doc_id, n, sig) of each row, and (sig, n, label, component_id) of the sets that may have links. Both are written or read from written tables."""
-    parts = 2 * hashing.parts(docs, text)
+    parts = _parts(docs, text)
+    packs = 2 * max(parts, 2 * partitions(docs.sparkSession))
     rows = docs.select(F.xxhash64(key, text).alias("key"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dealt = rows.mapInArrow(hashing.trimmed(_deal(parts, k)), _SCHEMA)
     shared = dealt.groupBy("part").applyInArrow(hashing.trimmed_group(_shared(parts)), _SCHEMA)
@@ -344,7 +357,7 @@ def _labelled(docs: DataFrame, k: int, numerator: int, denominator: int, key: st
     loads = ranked.select("rid", "n").join(coarse, "rid").groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
     placed = members.join(loads, "g").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, "block").alias("i"), F.greatest(j, "block").alias("j")))
-    placed = placed.select("g", "rid", "n", "tokens", "block", F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(2 * parts))).alias("pack"), (F.col("blocks") > 1).alias("big"), F.explode(pair).alias("p"))
+    placed = placed.select("g", "rid", "n", "tokens", "block", F.when(F.col("blocks") > 1, F.col("g")).otherwise(F.pmod(F.xxhash64("g"), F.lit(packs))).alias("pack"), (F.col("blocks") > 1).alias("big"), F.explode(pair).alias("p"))
     links = placed.select("g", "rid", "n", "tokens", "block", "pack", "big", "p.i", "p.j").groupBy("big", "pack", "i", "j").applyInArrow(hashing.trimmed_group(_join_block(numerator, denominator)), "a long, b long")
     found = connected_components(cut(links, "links"))
     labelled = classes.join(found, classes["rid"] == found["id"], "left").select("sig", classes["n"], "least", F.coalesce("label", "rid").alias("label"))
