@@ -136,8 +136,8 @@ def hamming_pairs(codes: DataFrame, radius: int = 10, strategy: str | None = Non
     return unlike.union(same)
 
 
-def _near(left: DataFrame, right: DataFrame, radius: int, strategy: str) -> DataFrame:
-    """(code, other) of distinct codes within radius."""
+def _near(left: DataFrame, right: DataFrame, radius: int, strategy: str, forest: bool = False) -> DataFrame:
+    """(code, other) of distinct codes within radius. forest, for bands of equal sides: with code < other, enough of them to connect what all connect."""
     ok = F.bit_count(F.col("code").bitwiseXOR(F.col("other"))) <= radius
     if strategy == "nested":
         return left.join(F.broadcast(right), ok)  # counted: NESTED_ROWS at most
@@ -157,18 +157,33 @@ def _near(left: DataFrame, right: DataFrame, radius: int, strategy: str) -> Data
     asked = right.select(F.lit(True).alias("asked"), F.col("other").alias("code"), at(F.col("other"), True).alias("k"))
     # dealt and sorted, not joined: the planner takes the many neighbours for as few bytes as the codes and would broadcast them
     met = own.union(asked).select("k.i", "k.v", "asked", "code").repartition(partitions(left.sparkSession), "i", "v").sortWithinPartitions("i", "v")
-    return met.mapInArrow(_meet(radius, plan), "code long, other long")
+    return met.mapInArrow(_meet(radius, plan, forest), "code long, other long")
 
 
-def _meet(radius: int, plan: list[tuple[int, int, int]]):
+def _connecting(x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the links (x, y), x ascending, connect what all of them do. label: the component of each y so far, brought up to date."""
+    keep = np.ones(len(x), bool)
+    cuts = np.r_[0, np.flatnonzero(np.diff(x)) + 1, len(x)]
+    for a in np.flatnonzero(np.diff(cuts) > 1).tolist():  # a single link joins no components of y
+        here = slice(cuts[a], cuts[a + 1])
+        parts, first = np.unique(label[y[here]], return_index=True)
+        keep[here] = False
+        keep[cuts[a] + first] = True
+        if len(parts) > 1:
+            label[np.isin(label, parts)] = parts[0]
+    return keep
+
+
+def _meet(radius: int, plan: list[tuple[int, int, int]], forest: bool = False):
     """Sorted rows (i, v, asked, code) -> (code, other) within radius, each pair in the first of its bands that meet.
 
-    The codes of one place are held as numbers of 8 bytes and compared in blocks.
+    The codes of one place are held as numbers of 8 bytes and compared in blocks. forest: of a place's pairs with
+    code < other no more than it has codes, which connect what all of them do.
     """
     schema = pa.schema([("code", pa.int64()), ("other", pa.int64())])
 
     def pairs(i: int, own: np.ndarray, asked: np.ndarray) -> Iterator[pa.RecordBatch]:
-        step = max(1, BLOCK // max(1, len(own)))
+        step, label = max(1, BLOCK // max(1, len(own))), np.arange(len(own))
         for a in range(0, len(asked), step):
             unlike = asked[a : a + step, None] ^ own[None, :]
             x, y = np.nonzero(np.bitwise_count(unlike) <= radius)
@@ -176,6 +191,9 @@ def _meet(radius: int, plan: list[tuple[int, int, int]]):
             first = np.ones(len(x), bool)
             for shift, width, r in plan[:i]:
                 first &= np.bitwise_count((d >> np.uint64(shift)) & np.uint64((1 << width) - 1)) > r
+            if forest:
+                first &= own.view(np.int64)[y] < asked[a : a + step].view(np.int64)[x]
+                first[first] = _connecting(x[first], y[first], label)
             if first.any():
                 yield pa.RecordBatch.from_arrays([pa.array(own[y[first]].view(np.int64)), pa.array(asked[a : a + step][x[first]].view(np.int64))], schema=schema)
 
@@ -215,12 +233,17 @@ def hamming_search(codes: DataFrame, queries: DataFrame, radius: int, strategy:
 
 
 def hamming_links(codes: DataFrame, radius: int = 10) -> DataFrame:
-    """(a, b): enough links to connect what pairs within radius connect: equal codes as a star, unlike ones by representatives."""
+    """(a, b): enough links to connect what pairs within radius connect: equal codes as a star, unlike ones by representatives.
+
+    Codes that are all near to each other make a forest for each place (band, value) where they meet, not all pairs.
+    """
     c = codes.where(F.col("id").isNotNull() & F.col("code").isNotNull())
     rep = cut(c.groupBy("code").agg(F.min("id").alias("rep")), "codes")
-    stars = c.join(rep, "code").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    near = hamming_pairs(rep.select(F.col("rep").alias("id"), "code"), radius)
-    return stars.union(near.select("a", "b"))
+    stars = c.hint("merge").join(rep, "code").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    one = rep.select("code")
+    near = cut(_near(one, one.withColumnRenamed("code", "other"), radius, "bands", forest=True), "near")
+    unlike = near.hint("merge").join(rep, "code").hint("merge").join(rep.select(F.col("rep").alias("y"), F.col("code").alias("other")), "other")
+    return stars.union(unlike.select(F.least("rep", "y").alias("a"), F.greatest("rep", "y").alias("b")))
 
 
 def groups(codes: DataFrame, radius: int = 10) -> DataFrame:
