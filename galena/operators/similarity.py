@@ -131,8 +131,9 @@ def hamming_pairs(codes: DataFrame, radius: int = 10, strategy: str | None = Non
     near = cut(_near(distinct, distinct.withColumnRenamed("code", "other"), radius, strategy).where("code < other"), "near")
     d = S.hamming(F.col("code"), F.col("other"))
     left, right = c.withColumnRenamed("id", "x"), c.select(F.col("id").alias("y"), F.col("code").alias("other"))
-    unlike = near.join(left, "code").join(right, "other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
-    same = left.join(right, F.col("code") == F.col("other")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
+    # merged: a written table of many pairs of few codes is small enough to be broadcast through the driver, its rows are not
+    unlike = near.hint("merge").join(left, "code").hint("merge").join(right, "other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), d.alias("distance"))
+    same = left.hint("merge").join(right, F.col("code") == F.col("other")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance"))
     return unlike.union(same)
 
 
